@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import os
 import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -13,8 +15,16 @@ CHECKPOINT_KEY = "spark.checkpoint.dir"
 _LOCAL_DIRS: dict[str, str] = {}
 
 
+def _find_package(spark: SparkSession) -> None:
+    """Let Python workers import this package also where only the driver's own path has it."""
+    here, env = str(Path(__file__).resolve().parent.parent), spark.sparkContext.environment
+    if here not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(filter(None, [here, env.get("PYTHONPATH", "")]))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One input table of a data directory."""
+    _find_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
