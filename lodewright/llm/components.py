@@ -11,17 +11,17 @@ from lodewright.session import Scratch
 def jump_to_roots(pointers: DataFrame, scratch: Scratch) -> DataFrame:
     """(`node`, `root`) for (`node`, `to`), where following `to` from any node ends at a node that points to itself.
 
-    Each pass replaces a pointer by its target's pointer, so paths halve: the passes grow with the logarithm of the
-    longest path. Nodes that are only pointed at count as roots.
+    Each pass follows two pointers at once and is then followed itself, so paths shrink to a third or less: the passes
+    grow with the logarithm of the longest path. Nodes that are only pointed at count as roots.
     """
     now = pointers.select("node", "to")
     while True:
-        targets = now.where("node <> to").select(F.col("node").alias("mid"), F.col("to").alias("next"))
+        targets = now.where("node <> to")
+        one, two = (targets.select(F.col("node").alias(f"mid{i}"), F.col("to").alias(f"next{i}")) for i in (1, 2))
         step = scratch.save(
-            now.join(targets, now["to"] == targets["mid"], "left").select(
-                "node", F.coalesce("next", "to").alias("to"), F.col("next").isNotNull().alias("moved")
-            )
-        )
+            now.join(one, F.col("to") == F.col("mid1"), "left").join(two, F.col("next1") == F.col("mid2"), "left")
+            .select("node", F.coalesce("next2", "next1", "to").alias("to"), F.col("next2").isNotNull().alias("moved"))
+        )
         scratch.drop(now)
         now = step
         if now.where("moved").isEmpty():
