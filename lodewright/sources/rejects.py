@@ -34,6 +34,11 @@ KINDS = (
 )
 
 
+def let(value: Column, body) -> Column:
+    """`body(value)` with the value computed once: an expression named inside a lambda is computed for every element."""
+    return F.transform(F.array(value), body)[0]
+
+
 def quote_parts(line: Column) -> Column:
     """The pieces of a line between double quotes; those at odd places stand inside quotes."""
     return F.split(line, '"', -1)
@@ -45,35 +50,34 @@ def quoting_error(parts: Column) -> Column:
     A piece outside quotes that is not at an end of the line must be empty (a doubled quote) or begin and end with a
     comma; at the ends it must be empty or touch the quote with a comma.
     """
-    n = F.size(parts)
-
-    def outside_ok(x: Column, i: Column) -> Column:
-        first, last = i == 0, i == n - 1
-        return (
-            (i % 2 == 1)
-            | (first & last)
-            | (x == "")
-            | ((first | x.startswith(",")) & (last | x.endswith(",")))
-        )
 
-    sound = F.forall(F.transform(parts, outside_ok), lambda ok: ok)
-    return F.when(n % 2 == 0, F.lit("unclosed quote")).when(~sound, F.lit("misplaced quote"))
+    def reason(xs: Column) -> Column:
+        n = F.size(xs)
+
+        def outside_ok(x: Column, i: Column) -> Column:
+            first, last = i == 0, i == n - 1
+            return (i % 2 == 1) | (first & last) | (x == "") | ((first | x.startswith(",")) & (last | x.endswith(",")))
+
+        sound = F.forall(F.transform(xs, outside_ok), lambda ok: ok)
+        return F.when(n % 2 == 0, F.lit("unclosed quote")).when(~sound, F.lit("misplaced quote"))
+
+    return let(parts, reason)
 
 
 def split_fields(line: Column) -> Column:
     """Fields of a line with sound quoting: unquoted, doubled quotes undone, spaces around the content removed."""
     safe = F.replace(F.replace(line, F.lit(_ESC), F.lit(_ESC + "b")), F.lit(_CUT), F.lit(_ESC + "a"))
-    parts = quote_parts(safe)
-    n = F.size(parts)
-    joined = F.array_join(
-        F.transform(
-            parts,
-            lambda x, i: F.when(i % 2 == 1, x)
-            .when((x == "") & (i > 0) & (i < n - 1), F.lit('"'))
-            .otherwise(F.replace(x, F.lit(","), F.lit(_CUT))),
-        ),
-        "",
-    )
+
+    def join(xs: Column) -> Column:
+        n = F.size(xs)
+
+        def piece(x: Column, i: Column) -> Column:
+            doubled = (x == "") & (i > 0) & (i < n - 1)
+            return F.when(i % 2 == 1, x).when(doubled, F.lit('"')).otherwise(F.replace(x, F.lit(","), F.lit(_CUT)))
+
+        return F.array_join(F.transform(xs, piece), "")
+
+    joined = let(quote_parts(safe), join)
     undo = lambda x: F.replace(F.replace(x, F.lit(_ESC + "a"), F.lit(_CUT)), F.lit(_ESC + "b"), F.lit(_ESC))
     return F.transform(F.split(joined, _CUT, -1), lambda x: F.trim(undo(x)))
 
