@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType
 
 #: Characters counted in a signature: fixed values, eight to each of two longs.
 COUNTED = ("cnos(=[1", "flb2#@-+")
@@ -22,7 +25,8 @@ def signature(text: Column) -> list[Column]:
 
 
 def signature_distance(a: list[Column], b: list[Column]) -> Column:
-    """Sum of differences of counts: one edit changes it by at most 2."""
+    """Sum of differences of counts. One edit changes that of single characters by at most 2, that of pairs by at most 4
+    (a replacement undoes two pairs and makes two)."""
     total = F.lit(0).cast("long")
     for x, y in zip(a, b, strict=True):
         for place in range(8):
@@ -31,6 +35,26 @@ def signature_distance(a: list[Column], b: list[Column]) -> Column:
     return total
 
 
+#: Counters of a pair signature: pairs of successive characters are hashed into as many classes.
+PAIR_CLASSES = 32
+
+
+@F.pandas_udf(ArrayType(LongType()))
+def pair_signature(texts: pd.Series) -> pd.Series:
+    """How often each class of successive characters occurs (at most 255), as bytes of four longs.
+
+    Counting every pair of a batch at once in NumPy takes a hundredth of what nested array functions do.
+    """
+    codes = [np.frombuffer(t.encode("utf-32-le"), np.uint32).astype(np.int64) for t in texts]
+    sizes = np.array([max(0, len(c) - 1) for c in codes])
+    firsts = np.concatenate([c[:-1] for c in codes] or [np.zeros(0, np.int64)])
+    seconds = np.concatenate([c[1:] for c in codes] or [np.zeros(0, np.int64)])
+    classes = ((firsts * 2654435761 + seconds * 40503) >> 7) % PAIR_CLASSES
+    counts = np.bincount(np.repeat(np.arange(len(codes)), sizes) * PAIR_CLASSES + classes, minlength=len(codes) * PAIR_CLASSES)
+    packed = np.minimum(counts, 255).astype(np.uint8).reshape(len(codes), PAIR_CLASSES).view("<i8")
+    return pd.Series(list(packed))
+
+
 def within(a: Column, b: Column, k: int) -> Column:
     """Whether the edit distance is at most k (dynamic programming in a band of 2 k + 1 diagonals)."""
     return F.levenshtein(a, b, k) >= 0
