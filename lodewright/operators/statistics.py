@@ -19,8 +19,13 @@ MINIMISED = ("max_error", "mse", "rmse", "mae", "median_absolute_error", "mape",
 
 
 def long_scores(report: DataFrame, methods: Sequence[str], by: Sequence[str] = ("scoring",), scoring: Sequence[str] | None = None) -> DataFrame:
-    """Numbered cycles in long form; names of scores are lower-cased and may be restricted."""
+    """Numbered cycles in long form; names of scores are lower-cased and may be restricted.
+
+    A cycle in which any method's score is missing (null or NaN) is left out, because the tests compare whole cycles.
+    """
     rows = report.withColumn("scoring", F.lower("scoring")).where(~F.col("cv_cycle").isin(*SUMMARY))
+    for m in methods:
+        rows = rows.where(F.col(m).isNotNull() & ~F.isnan(m))
     if scoring is not None:
         rows = rows.where(F.col("scoring").isin(*(s.lower() for s in scoring)))
     return rows.select(*by, "cv_cycle", *methods).unpivot([*by, "cv_cycle"], list(methods), "method", "value")
