@@ -125,8 +125,8 @@ def stratified_group_folds(df: DataFrame, id_col: str, group_col: str, class_col
             folds[f] -= x[i]
         place[i] = min(spread)[2]
         folds[place[i]] += x[i]
-    mapping = df.sparkSession.createDataFrame([(str(g), int(f)) for g, f in zip(table.index, place, strict=True)], "g string, fold int")
-    return df.join(mapping, F.col(group_col).cast("string") == F.col("g")).drop("g")
+    mapping = df.sparkSession.createDataFrame([(str(g), int(f)) for g, f in zip(table.index, place, strict=True)], "__g string, fold int")
+    return df.join(mapping, F.col(group_col).cast("string") == F.col("__g")).drop("__g")
 
 
 def sphere_exclusion(rows: DataFrame, cutoff: float = 0.35) -> DataFrame:
