@@ -138,17 +138,23 @@ def plan(counts: np.ndarray, capacity: int, bins: int = 40) -> list[Recipe]:
         repeats = np.floor(nnls(shapes, histogram / scale) * scale + 1e-6).astype(int)
         by_bin = [np.flatnonzero(of == b)[::-1] for b in range(bins + 1)]
         for j in np.flatnonzero(repeats):
-            need = [b for b in range(1, bins + 1) for _ in range(int(shapes[b, j]))]
+            need = [b for b in range(bins, 0, -1) for _ in range(int(shapes[b, j]))]
             todo = int(repeats[j])
             while todo > 0:
                 uses: dict[int, int] = {}
-                for b in need:
+                for b in need[:-1]:
                     size = next((int(s) for s in by_bin[b] if left[s] > uses.get(int(s), 0)), None)
                     if size is None:
                         break
                     uses[size] = uses.get(size, 0) + 1
-                if sum(uses.values()) < len(need):
+                if sum(uses.values()) < len(need) - 1:
                     break
+                # The last document closes the container: the longest one left that fits.
+                room = capacity - sum(s * n for s, n in uses.items())
+                fitting = [int(s) for s in np.flatnonzero(left[: room + 1])[::-1][: len(need)] if left[s] > uses.get(int(s), 0)]
+                if not fitting:
+                    break
+                uses[fitting[0]] = uses.get(fitting[0], 0) + 1
                 times = min(todo, *(int(left[s]) // n for s, n in uses.items()))
                 for s, n in uses.items():
                     left[s] -= n * times
