@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 from lodewright.operators.neighbours import chunked_pairs
 from lodewright.operators.profile import Roles, collect_stats, missing_as_null
+from lodewright.session import Scratch
 
 STRATEGIES = ("mean", "median", "mode", "knn", "mice")
 
@@ -32,6 +35,39 @@ def bayesian_ridge(gram: np.ndarray, xy: np.ndarray, yy: float, n: int, rounds:
     return coef
 
 
+def _filled(x: np.ndarray, starts: tuple[float, ...], steps: tuple) -> np.ndarray:
+    """Rows with their gaps at the starting values, then regressed again and again, step by step."""
+    gaps = np.isnan(x)
+    out = np.where(gaps, starts, x)
+    for t, coef, offset in steps:
+        value = np.delete(out, t, axis=1) @ np.array(coef) + offset
+        out[:, t] = np.where(gaps[:, t], value, out[:, t])
+    return out
+
+
+def _centred_sums(rows: DataFrame, starts: tuple[float, ...], steps: tuple, target: int) -> tuple[int, np.ndarray, np.ndarray]:
+    """Count, means and centred cross products of the rows that have the target: partial sums by partition, added up."""
+    width = len(starts)
+    origin = np.array(starts)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros((width + 1, width + 1))
+        for frame in frames:
+            x = frame.to_numpy(float)
+            full = _filled(x, starts, steps)[~np.isnan(x[:, target])] - origin
+            one = np.column_stack([np.ones(len(full)), full])
+            total += one.T @ one
+        yield pd.DataFrame({"i": np.arange(total.size), "v": total.ravel()})
+
+    sums = rows.mapInPandas(run, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).toPandas()
+    total = np.zeros((width + 1) ** 2)
+    total[sums["i"].to_numpy()] = sums["v"].to_numpy()
+    total = total.reshape(width + 1, width + 1)
+    n = total[0, 0]
+    mean = total[0, 1:] / max(n, 1)
+    return int(n), mean + origin, total[1:, 1:] - n * np.outer(mean, mean)
+
+
 def _moments(df: DataFrame, cols: list[str], where) -> tuple[int, np.ndarray, np.ndarray]:
     """Count, means and centred cross products of the columns: one aggregation of fixed size."""
     pairs = [(i, j) for i in range(len(cols)) for j in range(i, len(cols))]
@@ -92,26 +128,31 @@ class MissingHandler:
         return fitted
 
     def _chain(self, df: DataFrame, stats: dict[str, dict]) -> tuple:
+        """Each step is one pass over the gapped columns: batches are filled by all steps so far, and only sums return."""
         order = [c for c in sorted(self.other, key=lambda c: (stats[c]["n_missing"], c)) if stats[c]["n_missing"]]
-        steps: list[tuple[str, tuple[float, ...], float]] = []
+        steps: list[tuple[int, tuple[float, ...], float]] = []
+        rows = Scratch(df.sparkSession).save(df.select(*(F.col(c).cast("double") for c in self.other)))
         for _ in range(self.rounds):
             for target in order:
-                filled = self._apply(df, tuple(steps))
-                inputs = [c for c in self.other if c != target]
-                n, mean, s = _moments(filled, [*inputs, target], F.col(f"__was_{target}").isNotNull())
-                coef = bayesian_ridge(s[:-1, :-1], s[:-1, -1], float(s[-1, -1]), max(n, 1))
-                steps.append((target, tuple(coef), float(mean[-1] - coef @ mean[:-1])))
+                t = self.other.index(target)
+                n, mean, s = _centred_sums(rows, self._starts(), tuple(steps), t)
+                inputs = [i for i in range(len(self.other)) if i != t]
+                coef = bayesian_ridge(s[np.ix_(inputs, inputs)], s[inputs, t], float(s[t, t]), max(n, 1))
+                steps.append((t, tuple(float(w) for w in coef), float(mean[t] - coef @ mean[inputs])))
         return tuple(steps)
 
-    def _apply(self, df: DataFrame, steps: tuple) -> DataFrame:
-        """Only the last regression of each column matters for a step's inputs, so a projection per step suffices."""
-        out = df.withColumns({f"__was_{c}": F.col(c).cast("double") for c in self.other})
-        out = out.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(self.fills[c])) for c in self.other})
-        for target, coef, offset in steps:
-            inputs = [c for c in self.other if c != target]
-            value = sum((F.lit(w) * F.col(c) for w, c in zip(coef, inputs, strict=True)), F.lit(offset))
-            out = out.withColumn(target, F.coalesce(F.col(f"__was_{target}"), value))
-        return out
+    def _starts(self) -> tuple[float, ...]:
+        return tuple(float(self.fills[c] or 0.0) for c in self.other)
+
+    def _regressed(self, df: DataFrame) -> DataFrame:
+        starts, steps = self._starts(), self.regressions
+
+        @F.pandas_udf(ArrayType(DoubleType()))
+        def fill(*xs: pd.Series) -> pd.Series:
+            return pd.Series(list(_filled(np.column_stack([x.to_numpy(float) for x in xs]), starts, steps)))
+
+        out = df.withColumn("__filled", fill(*(F.col(c).cast("double") for c in self.other)))
+        return out.withColumns({c: F.col("__filled")[i] for i, c in enumerate(self.other)}).drop("__filled")
 
     def _nearest(self, df: DataFrame) -> DataFrame:
         """(`__query`, `__filled`): the other columns of each row with a gap."""
@@ -148,7 +189,7 @@ class MissingHandler:
         roles = [c for c in df.columns if c in self.roles.names]
         df = missing_as_null(df)
         if self.strategy == "mice":
-            out = self._apply(df, self.regressions)
+            out = self._regressed(df) if self.other else df
         elif self.strategy == "knn" and self.other:
             near = self._nearest(df)
             out = df.join(near, df[self.roles.id] == near["__query"], "left").withColumns(

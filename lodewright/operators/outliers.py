@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field, replace
 
 import numpy as np
@@ -40,28 +40,53 @@ def yeo_johnson(x: Column, lam: float) -> Column:
     return F.when(x >= 0, up).otherwise(down)
 
 
-def fit_yeo_johnson(df: DataFrame, cols: Sequence[str], passes: int = 4) -> dict[str, tuple[float, float, float]]:
-    """Exponent of greatest likelihood, mean and deviation by column; each pass tries a finer grid in one aggregation."""
+def _transformed(x: np.ndarray, lam: float) -> np.ndarray:
+    with np.errstate(all="ignore"):
+        up = np.log1p(x) if abs(lam) < 1e-12 else ((x + 1) ** lam - 1) / lam
+        down = -np.log1p(-x) if abs(lam - 2) < 1e-12 else -((1 - x) ** (2 - lam) - 1) / (2 - lam)
+    return np.where(x >= 0, up, down)
+
+
+def fit_yeo_johnson(df: DataFrame, cols: Sequence[str], passes: int = 4, points: int = 17) -> dict[str, tuple[float, float, float]]:
+    """Exponent of greatest likelihood, mean and deviation by column.
+
+    Each pass tries a finer grid for all columns at once: batches return count, mean and squares about it, which are
+    merged exactly.
+    """
     low, high = {c: -3.0 for c in cols}, {c: 5.0 for c in cols}
     best: dict[str, tuple[float, float, float]] = {}
-    for _ in range(passes):
-        grid = {c: np.linspace(low[c], high[c], 17) for c in cols}
-        aggs = []
-        for i, c in enumerate(cols):
-            x = F.col(c).cast("double")
-            aggs += [F.sum(F.signum(x) * F.log1p(F.abs(x))).alias(f"l{i}"), F.count(x).alias(f"n{i}")]
-            for j, lam in enumerate(grid[c]):
-                aggs += [F.var_pop(yeo_johnson(x, float(lam))).alias(f"v{i}_{j}"), F.avg(yeo_johnson(x, float(lam))).alias(f"m{i}_{j}")]
-        row = df.agg(*aggs).first() if cols else None
+    values = df.select(*(F.col(c).cast("double") for c in cols))
+    for _ in range(passes if cols else 0):
+        grids = [np.linspace(low[c], high[c], points) for c in cols]
+
+        def run(frames: Iterator[pd.DataFrame], grids: list = grids) -> Iterator[pd.DataFrame]:
+            for frame in frames:
+                rows = []
+                for i, grid in enumerate(grids):
+                    x = frame.iloc[:, i].to_numpy(float)
+                    x = x[~np.isnan(x)]
+                    logs = float((np.sign(x) * np.log1p(np.abs(x))).sum())
+                    for j, lam in enumerate(grid):
+                        y = _transformed(x, float(lam))
+                        rows.append((i, j, len(x), logs, float(y.mean()) if len(y) else 0.0, float(y.var() * len(y)) if len(y) else 0.0))
+                yield pd.DataFrame(rows, columns=["i", "j", "n", "logs", "m", "s"])
+
+        parts = values.mapInPandas(run, "i int, j int, n long, logs double, m double, s double")
+        each = parts.groupBy("i", "j").agg(
+            F.sum("n").alias("n"), F.sum("logs").alias("logs"), F.sum(F.col("n") * F.col("m")).alias("total"), F.sum("s").alias("s"),
+            F.sum(F.col("n") * F.col("m") * F.col("m")).alias("squares"),
+        ).toPandas()
         for i, c in enumerate(cols):
-            def score(j: int, i: int = i, c: str = c) -> float:
-                v = row[f"v{i}_{j}"]
-                return -math.inf if not v or v <= 0 else -row[f"n{i}"] / 2 * math.log(v) + (grid[c][j] - 1) * row[f"l{i}"]
-
-            j = max(range(17), key=score)
-            best[c] = float(grid[c][j]), row[f"m{i}_{j}"] or 0.0, (row[f"v{i}_{j}"] or 0.0) ** 0.5 or 1.0
-            step = grid[c][1] - grid[c][0]
-            low[c], high[c] = grid[c][j] - step, grid[c][j] + step
+            scored = []
+            for r in each[(each["i"] == i) & (each["n"] > 0)].itertuples():
+                mean = r.total / r.n
+                v = (r.s + r.squares - r.n * mean * mean) / r.n
+                likelihood = -math.inf if not v > 0 else -r.n / 2 * math.log(v) + (grids[i][r.j] - 1) * r.logs
+                scored.append((likelihood, -r.j, mean, v))
+            _, j, mean, v = max(scored, default=(0.0, -(points // 2), 0.0, 1.0))
+            best[c] = float(grids[i][-j]), mean, max(v, 0.0) ** 0.5 or 1.0
+            step = grids[i][1] - grids[i][0]
+            low[c], high[c] = grids[i][-j] - step, grids[i][-j] + step
     return best
 
 
