@@ -240,3 +240,23 @@ SQL["prediction_summary"] = f"""WITH {_Y} SELECT count(*) AS n, {r("avg(y)")} AS
 {r("quantile_cont(y, 0.1)")} AS q10, {r("quantile_cont(y, 0.5)")} AS q50, {r("quantile_cont(y, 0.9)")} AS q90 FROM t"""
 SQL["prediction_extremes"] = f"""WITH {_Y} SELECT * FROM (SELECT rec_id, y, 'top' AS "end" FROM t WHERE y IS NOT NULL ORDER BY y DESC, rec_id LIMIT 3)
 UNION ALL SELECT * FROM (SELECT rec_id, y, 'bottom' AS "end" FROM t WHERE y IS NOT NULL ORDER BY y, rec_id LIMIT 3)"""
+
+# ---- steps whose columns depend on the data: those that remain or are treated at sf0.01
+
+_KEPT = [c for c in FEATURES if c != "feature9"]
+_SHOW_KEPT = ", ".join(["rec_id", r("activity") + " AS activity", "CAST(feature1 AS BIGINT) AS feature1", "CAST(feature2 AS BIGINT) AS feature2", *(f"{r(c)} AS {c}" for c in _KEPT[2:])])
+for _name, _what in (("mean", "mean"), ("median", "median"), ("mode", "mode")):
+    _fill = f"coalesce(x, CASE WHEN is_binary THEN mode ELSE {_what} END)"
+    SQL[f"missing_{_name}"] = f"{_NBASE}, w AS ({_wide(_fill, 'l JOIN st USING (feature) JOIN md USING (feature)')}) SELECT {_SHOW_KEPT} FROM w"
+SQL["low_variance"] = f"WITH {F} SELECT rec_id, activity, feature1, feature2, feature5, feature6, feature7, feature8, feature9, feature10 FROM f"
+_EMPTIED = "e AS (SELECT rid, l.feature, rec_id, activity, CASE WHEN lower IS NULL OR x BETWEEN lower AND upper THEN x END AS x FROM l LEFT JOIN bad USING (feature))"
+_EST = """est AS (SELECT feature, coalesce(bool_and(x IN (0, 1)), true) AS is_binary, avg(x) AS mean FROM e GROUP BY feature),
+emd AS (SELECT feature, arg_min(x, (-c, x)) AS mode FROM (SELECT feature, x, count(*) AS c FROM e WHERE x IS NOT NULL GROUP BY feature, x) GROUP BY feature)"""
+_fill = "coalesce(x, CASE WHEN is_binary THEN mode ELSE mean END)"
+SQL["outliers_imputed"] = f"{_NBASE}, {_BAD}, {_EMPTIED}, {_EST}, w AS ({_wide(_fill, 'e JOIN est USING (feature) JOIN emd USING (feature)')}) SELECT {_SHOW} FROM w"
+_TREATED = FEATURES[2:]
+for _name, _edges in (("quantile", [f"quantile_cont(x, {i} / 3.0)" for i in range(4)]), ("uniform", [f"min(x) + (max(x) - min(x)) * {i} / 3" for i in range(4)])):
+    _cols = ", ".join(f"{e} AS e{i}" for i, e in enumerate(_edges))
+    _bin = "CASE WHEN e1 - e0 > 1e-8 AND e3 - e1 > 1e-8 AND x >= e1 THEN 1 ELSE 0 END + CASE WHEN e2 - e1 > 1e-8 AND e3 - e2 > 1e-8 AND x >= e2 THEN 1 ELSE 0 END"
+    _picks = ", ".join(f"CAST(max({_bin}) FILTER (feature = '{c}') AS DOUBLE) AS Kbin{i}" for i, c in enumerate(_TREATED, 1))
+    SQL[f"binned_{_name}"] = f"{_NBASE}, ed AS (SELECT feature, {_cols} FROM l GROUP BY feature) SELECT any_value(rec_id) AS rec_id, {_picks} FROM l JOIN ed USING (feature) GROUP BY rid"
