@@ -34,7 +34,8 @@ def label_sets(fold_probabilities: DataFrame, calibration: DataFrame, alpha: flo
     """
     n = calibration.count()
     level = min(1.0, -int(-((n + 1) * (1 - alpha) - 1e-9) // 1) / max(n, 1))
-    cut = calibration.agg(F.array_sort(F.collect_list("score")).alias("s")).select(F.element_at("s", max(1, min(n, -int(-(level * n - 1e-9) // 1)))).alias("cut"))
+    place = max(1, min(n, -int(-(level * n - 1e-9) // 1)))
+    cut = calibration.agg(F.percentile("score", F.lit((place - 1) / max(n - 1, 1)))).first()[0]
     mean = fold_probabilities.groupBy("id", "label").agg(F.avg("p").alias("p"))
-    kept = F.array_sort(F.collect_list(F.when(1 - F.col("p") <= F.col("cut"), F.col("label"))))
-    return mean.join(F.broadcast(cut)).groupBy("id").agg(kept.alias("labels"))  # cut is one row
+    kept = F.array_sort(F.collect_list(F.when(1 - F.col("p") <= F.lit(cut) + 1e-12, F.col("label"))))
+    return mean.groupBy("id").agg(kept.alias("labels"))

@@ -74,20 +74,20 @@ def knn_domain(fitted: DataFrame, queries: DataFrame, k: int = 10, rate: float =
     def score(pairs: DataFrame) -> DataFrame:
         return pairs.groupBy(F.col("query").alias("id")).agg((F.lit(1.0) / (F.avg("d") + 1.0)).alias("score"))
 
-    cut = score(knn(fitted, fitted, k, exclude_self=True)).agg(F.percentile("score", F.lit(rate)).alias("cut"))
-    return _in_or_out(score(knn(queries, fitted, k)), cut)
+    return _in_or_out(score(knn(queries, fitted, k)), score(knn(fitted, fitted, k, exclude_self=True)), rate)
 
 
 def lof_domain(fitted: DataFrame, queries: DataFrame, k: int = 20, rate: float = 0.05) -> DataFrame:
     """(`id`, `score`, `domain`) with the negative local outlier factor as score."""
     own = local_outlier_factor(fitted, k, queries=None).select((-F.col("lof")).alias("score"))
     asked = local_outlier_factor(fitted, k, queries).select("id", (-F.col("lof")).alias("score"))
-    return _in_or_out(asked, own.agg(F.percentile("score", F.lit(rate)).alias("cut")))
+    return _in_or_out(asked, own, rate)
 
 
-def _in_or_out(scores: DataFrame, cut: DataFrame) -> DataFrame:
-    label = F.when(F.col("score") - F.col("cut") > 0, F.lit("in")).otherwise(F.lit("out"))
-    return scores.join(F.broadcast(cut)).select("id", "score", label.alias("domain"))  # cut is one row
+def _in_or_out(scores: DataFrame, own: DataFrame, rate: float) -> DataFrame:
+    cut = own.agg(F.percentile("score", F.lit(rate))).first()[0]
+    label = F.when(F.col("score") - F.lit(cut) > 0, F.lit("in")).otherwise(F.lit("out"))
+    return scores.select("id", "score", label.alias("domain"))
 
 
 def vote(queries: DataFrame, fitted: DataFrame, target: str, k: int = 5, classify: bool = True) -> DataFrame:
