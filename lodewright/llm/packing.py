@@ -211,10 +211,11 @@ def pack(sizes: DataFrame, specs: DataFrame, scratch: Scratch | None = None, id_
     wanted = specs.where("capacity_tokens > 0").select("spec_id", "capacity_tokens").limit(1001).collect()
     if len(wanted) > 1000 or any(r["capacity_tokens"] > MAX_CAPACITY for r in wanted):
         raise ValueError("at most 1000 specifications of at most 2**20 tokens")
-    table = spark.createDataFrame([tuple(r) for r in wanted], "spec_id long, capacity long")
+    spec_list = F.array(*(F.struct(F.lit(r["spec_id"]).cast("long").alias("spec_id"), F.lit(r["capacity_tokens"]).cast("long").alias("capacity")) for r in wanted))
+    if not wanted:
+        spec_list = spec_list.cast("array<struct<spec_id:bigint,capacity:bigint>>")
     items = (
-        sizes.where("n_tokens is not null").select(F.col(id_col).alias("doc_id"), F.col("n_tokens").cast("long"))
-        .join(F.broadcast(table))  # a fixed table of at most 1000 rows: every text is to be packed once for each
+        sizes.where("n_tokens is not null").select(F.col(id_col).alias("doc_id"), F.col("n_tokens").cast("long"), F.inline(spec_list))
         .withColumn("full", F.when(F.col("n_tokens") > F.col("capacity"), F.floor(F.col("n_tokens") / F.col("capacity"))).otherwise(F.lit(0)))
         .withColumn("rest", F.col("n_tokens") - F.col("full") * F.col("capacity"))
     )
