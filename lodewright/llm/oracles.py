@@ -1,6 +1,6 @@
 """DuckDB statements equivalent to the training-data queries, where SQL can say them on whole tables.
 
-p4, p5 and p6 (edit distances over all pairs, closures) are tested against brute force on small tables instead.
+p6 (closure over edit distances of all pairs) is tested against brute force on small tables instead.
 """
 
 from __future__ import annotations
@@ -28,6 +28,9 @@ b AS (SELECT y_bands.*, floor(sample_pct * coalesce(n, 0) / 100) AS size FROM y_
 c AS (SELECT band_id, count(t.rec_id) AS n_rows FROM b LEFT JOIN (SELECT rec_id, endpoint, {value("y")} AS v FROM train_val) t ON t.endpoint = b.endpoint AND v >= y_from AND v < y_below GROUP BY band_id)"""
 _TOKENS = r"len(regexp_extract_all(text, '[A-Za-z0-9_]+|[^A-Za-z0-9_ \t\r\n\f\v]+'))"
 
+#: A text at most 3 edits away contains one of four parts somewhere; the parts only spare the distances of other pairs.
+_PARTS = " OR ".join(f"contains(ts.s, substr(es.s, 1 + {i} * len(es.s) // 4, {i + 1} * len(es.s) // 4 - {i} * len(es.s) // 4))" for i in range(4))
+
 SQL: dict[str, str] = {
     "p1_found": _COPIES + ", g AS (SELECT rec_id, min(rec_id) OVER (PARTITION BY t, s, e, v) AS first_rec_id FROM r WHERE s IS NOT NULL) SELECT first_rec_id, rec_id FROM g WHERE rec_id <> first_rec_id",
     "p1_collapsed": _COPIES + " SELECT min(rec_id) AS first_rec_id, count(*) AS n_copies FROM r WHERE s IS NOT NULL GROUP BY t, s, e, v",
@@ -35,6 +38,18 @@ SQL: dict[str, str] = {
     "p2_report": _PLAN + """ SELECT band_id, endpoint, n_rows, CAST(greatest(min_rows, ceil(target_pct * size / 100)) AS BIGINT) AS wanted,
   CAST(least(n_rows, greatest(min_rows, ceil(target_pct * size / 100))) AS BIGINT) AS n_drawn,
   CAST(greatest(0, greatest(min_rows, ceil(target_pct * size / 100)) - n_rows) AS BIGINT) AS shortfall FROM b JOIN c USING (band_id)""",
+    "p4_found": f"""WITH t AS (SELECT rec_id, {clean("drug")} AS s FROM train_val WHERE split_name = 'train'),
+e AS (SELECT rec_id, {clean("drug")} AS s FROM train_val WHERE split_name = 'valid' UNION ALL SELECT rec_id, {clean("drug")} FROM test_set UNION ALL SELECT rec_id, {clean("smiles")} FROM testcase),
+ts AS (SELECT DISTINCT s FROM t WHERE s IS NOT NULL), es AS (SELECT DISTINCT s FROM e WHERE s IS NOT NULL),
+p AS (SELECT ts.s AS a, es.s AS b FROM ts JOIN es ON abs(len(ts.s) - len(es.s)) <= 3 AND ({_PARTS}))
+SELECT least(t.rec_id, e.rec_id) AS rec_id_a, greatest(t.rec_id, e.rec_id) AS rec_id_b FROM p JOIN t ON t.s = a JOIN e ON e.s = b WHERE levenshtein(a, b) <= 3""",
+    "p5_found": f"""WITH RECURSIVE n AS (SELECT rec_id, 'c' || {clean("drug")} AS k FROM train_val
+  UNION ALL SELECT rec_id, 's' || regexp_replace(upper(study_id), '[^A-Z0-9]', '', 'g') FROM train_val),
+h AS (SELECT k, min(rec_id) AS head FROM n WHERE k IS NOT NULL GROUP BY k),
+e AS (SELECT DISTINCT rec_id AS a, head AS b FROM n JOIN h USING (k) WHERE rec_id <> head), g AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+cc(id, root) USING KEY (id) AS (SELECT rec_id, rec_id FROM train_val
+  UNION SELECT g.a, min(cc.root) FROM cc JOIN g ON g.b = cc.id JOIN recurring.cc AS r ON r.id = g.a WHERE cc.root < r.root GROUP BY g.a)
+SELECT root AS group_rec_id, id AS rec_id FROM cc WHERE root IN (SELECT root FROM cc GROUP BY root HAVING count(*) > 1)""",
     "p7_found": f"SELECT spec_id, doc_id FROM documents, container_specs WHERE {_TOKENS} > capacity_tokens",
     "p8_found": r"""WITH w AS (SELECT item_id, regexp_extract_all(lower(item_text), '[a-z0-9]+') AS ws FROM eval_items),
 r AS (SELECT DISTINCT item_id, array_to_string(ws[i:i + 11], ' ') AS run FROM w, unnest(range(1, len(ws) - 10)) t(i)),
