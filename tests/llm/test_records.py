@@ -224,6 +224,26 @@ def test_linked_clusters(spark):
     assert density_clusters.linked_clusters(df.limit(0), SMALL).count() == 0
 
 
+def test_neighbours_without_a_common_run(spark):
+    """Edits spread evenly leave no run of 20 characters; also ones crowded at either end."""
+    rng = np.random.default_rng(8)
+    texts = []
+    for n in (70, 90, 91, 140):
+        base = "".join(rng.choice(list("cno(=)1"), n))
+        for places in ([(i + 1) * n // 9 for i in range(8)], list(range(8)), list(range(n - 8, n)), [*range(4), *range(n - 4, n)]):
+            for kind in range(3):
+                out = list(base)
+                for p in places:
+                    out[p] = ("", "x", "x" + out[p])[kind]
+                texts.append("".join(out))
+        texts.append(base)
+    texts = sorted(set(texts))
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    found = density_clusters.neighbours(density_clusters.distinct_texts(df), density_clusters.Settings(), Scratch(spark)).collect()
+    want = {(i, j, d) for (i, s), (j, t) in itertools.combinations(enumerate(texts), 2) if abs(len(s) - len(t)) <= 8 and (d := edit_distance(s, t)) <= 8}
+    assert sorted(tuple(r) for r in found) == sorted(want) and len(want) > 40
+
+
 def test_spanning_forest_weight(spark):
     rng = np.random.default_rng(6)
     edges = {(min(a, b), max(a, b)): int(w) for a, b, w in rng.integers(0, 60, (150, 3)) if a != b}
