@@ -40,13 +40,19 @@ def knn(queries: DataFrame, fitted: DataFrame, k: int, exclude_self: bool = Fals
         d2 = np.maximum((a**2).sum(1)[:, None] + (b**2).sum(1)[None, :] - 2 * a @ b.T, 0)
         if exclude_self:
             d2[qi[:, None] == ti[None, :]] = np.inf
-        m = min(len(ti), k + 16)
-        near = np.argpartition(d2, m - 1, axis=1)[:, :m]
-        d = np.sqrt(((a[:, None, :] - b[near]) ** 2).sum(2)) if a.shape[1] * m * len(a) <= 1 << 27 else np.sqrt(np.take_along_axis(d2, near, 1))
-        d = np.where(np.isinf(np.take_along_axis(d2, near, 1)), np.inf, d)
-        order = np.lexsort((ti[near], d), axis=1)[:, :k]
-        out = pd.DataFrame({"query": np.repeat(qi, order.shape[1]), "other": np.take_along_axis(ti[near], order, 1).ravel(), "d": np.take_along_axis(d, order, 1).ravel()})
-        return out[np.isfinite(out["d"])]
+        m = min(len(ti), k)
+        # Expanded squares are off by rounding; every row within that of the k-th smallest stays, however many tie there.
+        slack = 1e-12 * (a.shape[1] + 8) * ((a**2).sum(1)[:, None] + np.nan_to_num((b**2).sum(1)).max())
+        limit = np.nan_to_num(np.partition(d2, m - 1, axis=1)[:, m - 1 : m] + slack, nan=np.inf, posinf=np.inf)
+        near, some = np.isfinite(d2) & (d2 <= limit), max(1, (1 << 24) // (len(ti) * max(16, a.shape[1])))
+        best = []
+        for i in range(0, len(qi), some):
+            row, col = np.nonzero(near[i : i + some])
+            d = np.sqrt(((a[row + i] - b[col]) ** 2).sum(1))
+            order = np.lexsort((ti[col], d, row))
+            order = order[np.arange(len(row)) - np.searchsorted(row, row) < k]
+            best.append(pd.DataFrame({"query": qi[row[order] + i], "other": ti[col[order]], "d": d[order]}))
+        return pd.concat(best)
 
     found = chunked_pairs(queries.where("x is not null").select("id", "x"), fitted.where("x is not null").select("id", "x"), "id", "id", part, "query long, other long, d double")
     rank = F.row_number().over(Window.partitionBy("query").orderBy("d", "other"))

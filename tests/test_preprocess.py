@@ -160,3 +160,11 @@ def test_empty_table(spark):
     assert profile.feature_stats(df, ["x"]).count() == 0
     assert duplicates.DuplicateHandler().fit(df).transform(df).count() == 0
     assert df.where(F.lit(True)).count() == 0
+
+
+def test_neighbours_tied_beyond_the_block_cap(spark):
+    rows = [(i, [1.0, 2.0, 0.1]) for i in range(1000, 900, -1)] + [(i, [float(i), 2.0, 0.1]) for i in range(2, 30)]
+    df = spark.createDataFrame(rows, "id long, x array<double>")
+    got = neighbours.knn(df.where("id in (2, 1000)"), df, 5, exclude_self=True).orderBy("query", "rank").collect()
+    assert [(r["query"], r["other"]) for r in got] == [(2, i) for i in (3, 901, 902, 903, 904)] + [(1000, i) for i in range(901, 906)]
+    assert [r["d"] for r in got] == [1.0] * 5 + [0.0] * 5
