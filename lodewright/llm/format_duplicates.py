@@ -19,8 +19,9 @@ _SEEDS = (17, 7919)
 
 
 def multiset_hash(pairs: Column, seed: int) -> Column:
-    """Order-free 64-bit sum over the pairs; hashes are cut to 55 bits, so that 256 of them cannot overflow."""
-    return F.aggregate(pairs, F.lit(0).cast("long"), lambda acc, x: acc + F.shiftright(F.xxhash64(F.lit(seed), x), 9))
+    """Order-free sum over the pairs modulo 2 to the 55th, cut after each addition, so that no number of pairs overflows."""
+    cut = F.lit((1 << 55) - 1).cast("long")
+    return F.aggregate(pairs, F.lit(0).cast("long"), lambda acc, x: (acc + F.shiftright(F.xxhash64(F.lit(seed), x), 9)).bitwiseAND(cut))
 
 
 def same_multiset(a: Column, b: Column) -> Column:

@@ -71,6 +71,13 @@ def test_format_duplicates(spark):
     assert format_duplicates.collapsed(_records(spark, [(1, long_text, 1.0, ""), (2, long_text.upper(), 1.0, "")]), "id", "pairs").first()["n_copies"] == 2
 
 
+def test_records_of_many_equal_pieces(spark):
+    many = "Cl." * 600 + "N." * 2000
+    rows = [(1, many + "CC", 1.0, ""), (2, "cc." + many, 1.0, ""), (3, many + "CC.N", 1.0, "")]
+    got = {(r["first_id"], r["id"]) for r in format_duplicates.collapse(_records(spark, rows), "id", "pairs").collect()}
+    assert got == {(1, 1), (1, 2), (3, 3)}
+
+
 def test_hash_collisions_are_told_apart(spark, monkeypatch):
     monkeypatch.setattr(format_duplicates, "multiset_hash", lambda pairs, seed: F.lit(1).cast("long"))
     rows = [(1, "a", 1.0, ""), (2, "b", 1.0, ""), (3, "A", 1.0, ""), (4, "B", 1.0, "")]
