@@ -21,14 +21,20 @@ MINIMISED = ("max_error", "mse", "rmse", "mae", "median_absolute_error", "mape",
 def long_scores(report: DataFrame, methods: Sequence[str], by: Sequence[str] = ("scoring",), scoring: Sequence[str] | None = None) -> DataFrame:
     """Numbered cycles in long form; names of scores are lower-cased and may be restricted.
 
-    A cycle in which any method's score is missing (null or NaN) is left out, because the tests compare whole cycles.
+    Every score that is neither null nor NaN is kept; tests that compare whole cycles take `whole_cycles` of them.
     """
     rows = report.withColumn("scoring", F.lower("scoring")).where(~F.col("cv_cycle").isin(*SUMMARY))
-    for m in methods:
-        rows = rows.where(F.col(m).isNotNull() & ~F.isnan(m))
     if scoring is not None:
         rows = rows.where(F.col("scoring").isin(*(s.lower() for s in scoring)))
-    return rows.select(*by, "cv_cycle", *methods).unpivot([*by, "cv_cycle"], list(methods), "method", "value")
+    scores = rows.select(*by, "cv_cycle", *methods).unpivot([*by, "cv_cycle"], list(methods), "method", "value")
+    return scores.where(F.col("value").isNotNull() & ~F.isnan("value"))
+
+
+def whole_cycles(scores: DataFrame, by: Sequence[str]) -> DataFrame:
+    """The scores of cycles in which every method that has scores in the group has one."""
+    methods = scores.groupBy(*by).agg(F.count_distinct("method").alias("__k"))
+    whole = scores.groupBy(*by, "cv_cycle").agg(F.count_distinct("method").alias("__n")).join(methods, list(by))
+    return scores.join(whole.where("__n = __k").select(*by, "cv_cycle"), [*by, "cv_cycle"], "left_semi")
 
 
 def summary_rows(scores: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -77,8 +83,8 @@ def variance_homogeneity(scores: DataFrame, by: Sequence[str]) -> DataFrame:
 
 
 def _anova_parts(scores: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Sums of squares of the repeated-measures design: cycles are the subjects."""
-    keys = list(by)
+    """Sums of squares of the repeated-measures design: cycles are the subjects, and only whole ones count."""
+    keys, scores = list(by), whole_cycles(scores, by)
     total = scores.groupBy(*by).agg(F.avg("value").alias("g"), (F.var_pop("value") * F.count("value")).alias("ss"), F.count_distinct("method").alias("k"), F.count_distinct("cv_cycle").alias("n"))
     of = lambda c: scores.groupBy(*by, c).agg(F.avg("value").alias("m"))
     spread = lambda c, name: of(c).groupBy(*by).agg((F.var_pop("m") * F.count("m")).alias(name))
@@ -105,7 +111,7 @@ def ranks(scores: DataFrame, by: Sequence[str]) -> DataFrame:
 def friedman(scores: DataFrame, by: Sequence[str]) -> DataFrame:
     """(*by, `q`, `p_value`), corrected for ties."""
     keys = list(by)
-    r = ranks(scores, by)
+    r = ranks(whole_cycles(scores, by), by)
     size = r.groupBy(*by).agg(F.count_distinct("method").alias("k"), F.count_distinct("cv_cycle").alias("n"), F.sum(F.col("ties") * F.col("ties") - 1).alias("tie"))
     sums = r.groupBy(*by, "method").agg(F.sum("rank").alias("r")).groupBy(*by).agg(F.sum(F.col("r") * F.col("r")).alias("rr"))
     k, n = F.col("k"), F.col("n")
@@ -124,7 +130,7 @@ def pairs_of(means: DataFrame, by: Sequence[str]) -> DataFrame:
 def conover(scores: DataFrame, by: Sequence[str]) -> DataFrame:
     """(*by, `method_1`, `method_2`, `t`, `p_value`, `p_holm`): Conover's comparisons after a Friedman test."""
     keys = list(by)
-    r = ranks(scores, by)
+    r = ranks(whole_cycles(scores, by), by)
     size = r.groupBy(*by).agg(F.count_distinct("method").alias("k"), F.count_distinct("cv_cycle").alias("n"), F.sum(F.col("rank") * F.col("rank")).alias("a"))
     sums = r.groupBy(*by, "method").agg(F.sum("rank").alias("r"))
     rr = sums.groupBy(*by).agg(F.sum(F.col("r") * F.col("r")).alias("rr"))
@@ -150,7 +156,7 @@ def mean_pct_ranks(scores: DataFrame, by: Sequence[str]) -> DataFrame:
 def tukey(scores: DataFrame, by: Sequence[str]) -> DataFrame:
     """(*by, `method_1`, `method_2`, `mean_diff`, `se`, `q`, `p_value`): on the error of the repeated-measures ANOVA."""
     keys = list(by)
-    means = scores.groupBy(*by, "method").agg(F.avg("value").alias("mean"))
+    means = whole_cycles(scores, by).groupBy(*by, "method").agg(F.avg("value").alias("mean"))
     df = (F.col("k") - 1) * (F.col("n") - 1)
     pairs = pairs_of(means, by).join(_anova_parts(scores, by), keys)
     se = F.sqrt(F.col("ss_error") / df / F.col("n"))

@@ -75,6 +75,17 @@ def test_ranks_and_holm(spark):
     assert sorted(round(r["p_holm"], 6) for r in statistics.holm(p, ["scoring"]).collect()) == [0.03, 0.06, 0.06]
 
 
+def test_scores_of_incomplete_cycles(spark):
+    rows = [("R2", str(i), 0.1 * i, 0.2 * i + 0.01 * (i % 3), None) for i in range(1, 6)] + [("r2", "6", 0.9, float("nan"), None), ("r2", "mean", 0.5, 0.5, None)]
+    report = spark.createDataFrame(rows, "scoring string, cv_cycle string, a double, b double, c double")
+    s, by = statistics.long_scores(report, ["a", "b", "c"]), ["scoring"]
+    assert s.count() == 11 and {r["cv_cycle"] for r in statistics.whole_cycles(s, by).collect()} == set("12345")
+    assert {r["method"]: round(r["mean"], 6) for r in statistics.summary_rows(s, by).collect()} == {"a": 0.4, "b": 0.612}
+    whole = s.where("cv_cycle <> '6'")
+    for test in (statistics.repeated_measures_anova, statistics.friedman, statistics.conover, statistics.tukey):
+        assert test(s, by).collect() == test(whole, by).collect() and test(s, by).count() == 1
+
+
 @pytest.fixture(scope="module")
 def learnable(spark):
     rng = np.random.default_rng(6)
