@@ -66,9 +66,14 @@ def repeated_folds(df: DataFrame, id_col: str, n_splits: int = 5, n_repeats: int
     return ranked(rows, digest(seed, "repeat", id_col), keys).withColumn("fold", F.pmod(F.col("rank") - 1, F.lit(n_splits)).cast("int")).drop("rank")
 
 
+def _group_key(id_col: str, group_col: str) -> Column:
+    """The group as text; a row without one is a group of its own."""
+    return F.coalesce(F.col(group_col).cast("string"), F.concat(F.lit("\u0000"), F.col(id_col).cast("string")))
+
+
 def group_sizes(df: DataFrame, id_col: str, group_col: str) -> DataFrame:
     """(`group`, `size`, `first_id`); rows without a group are groups of their own."""
-    group = F.coalesce(F.col(group_col).cast("string"), F.concat(F.lit("\u0000"), F.col(id_col).cast("string")))
+    group = _group_key(id_col, group_col)
     return df.select(group.alias("group"), F.col(id_col).alias("i")).groupBy("group").agg(F.count("*").alias("size"), F.min("i").alias("first_id"))
 
 
@@ -105,14 +110,18 @@ def group_split(df: DataFrame, id_col: str, group_col: str, test_size: float = 0
         placed = greedy_fill(groups, [-F.col("size"), -F.col("first_id")], int((1 - test_size) * n + 1e-9))
     else:
         placed = greedy_fill(groups, [digest(seed, "first_id")], int(test_size * n + 1e-9), "test", "train")
-    key = F.coalesce(F.col(group_col).cast("string"), F.concat(F.lit("\u0000"), F.col(id_col).cast("string")))
+    key = _group_key(id_col, group_col)
     return df.withColumn("__group", key).join(placed.withColumnRenamed("group", "__group"), "__group").drop("__group")
 
 
 def stratified_group_folds(df: DataFrame, id_col: str, group_col: str, class_col: str, n_splits: int = 5) -> DataFrame:
     """The rows with `fold`: groups of the least even class counts first, each to the fold that keeps the classes most
-    evenly spread. The driver holds one row of class counts per group, never records."""
-    counts = df.groupBy(F.col(group_col).alias("g"), F.col(class_col).alias("c")).agg(F.count("*").alias("n")).toPandas()
+    evenly spread. Rows without a group are groups of their own, a missing class is one more class. The driver holds one
+    row of class counts per group, and so one for each row without a group."""
+    # Marked by a letter in front: pandas takes strings apart from the first zero character as equal.
+    key = F.coalesce(F.concat(F.lit("g"), F.col(group_col).cast("string")), F.concat(F.lit("r"), F.col(id_col).cast("string")))
+    kind = F.coalesce(F.concat(F.lit("c"), F.col(class_col).cast("string")), F.lit(""))
+    counts = df.groupBy(key.alias("g"), kind.alias("c")).agg(F.count("*").alias("n")).toPandas()
     table = counts.pivot_table(index="g", columns="c", values="n", fill_value=0, dropna=False).sort_index()
     x = table.to_numpy(float)
     total, folds = x.sum(0), np.zeros((n_splits, x.shape[1]))
@@ -126,7 +135,7 @@ def stratified_group_folds(df: DataFrame, id_col: str, group_col: str, class_col
         place[i] = min(spread)[2]
         folds[place[i]] += x[i]
     mapping = df.sparkSession.createDataFrame([(str(g), int(f)) for g, f in zip(table.index, place, strict=True)], "__g string, fold int")
-    return df.join(mapping, F.col(group_col).cast("string") == F.col("__g")).drop("__g")
+    return df.withColumn("__g", key).join(mapping, "__g").drop("__g")
 
 
 def sphere_exclusion(rows: DataFrame, cutoff: float = 0.35) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from lodewright.functions import special
 from lodewright.operators import conformal, inference, metrics, models, selection, splits, statistics, validation
 from lodewright.operators.profile import Roles
+from lodewright.plans import queries
 
 
 @pytest.fixture(scope="module")
@@ -37,6 +38,18 @@ def test_split_sizes(spark):
         splits.split(df, "time", "rec_id", "c")
 
 
+def test_queries_read_whole_tables(spark, tmp_path):
+    rows = [(i, "e" if i % 5 else None, None if i % 4 == 0 else f"s{i % 3}", [0.0, 2.0, 5000.0, float("nan"), None][i % 7 % 5]) for i in range(40)]
+    spark.createDataFrame(rows, "rec_id long, endpoint string, source string, y double").write.parquet(str(tmp_path / "train_val.parquet"))
+    for query in (queries.group_split, queries.random_group_split, queries.stratified_group_folds):
+        out = query(spark, str(tmp_path)).collect()
+        assert sorted(r["rec_id"] for r in out) == list(range(40))
+    valid = [(y, y * 0.9 + i % 7 * 0.1 - y) for i, e, _, y in rows if e and y is not None and y == y]
+    r = queries.regression_metrics(spark, str(tmp_path)).first()
+    assert r["mae"] == pytest.approx(sum(abs(e) for _, e in valid) / len(valid), abs=1e-6)
+    assert r["mape"] == pytest.approx(sum(abs(e) / max(abs(y), 2.220446049250313e-16) for y, e in valid) / len(valid), rel=1e-8)
+
+
 def test_sphere_exclusion(spark):
     rng = np.random.default_rng(5)
     sets = [sorted(set(rng.integers(0, 8, rng.integers(1, 6)).tolist())) for _ in range(30)]
