@@ -44,6 +44,32 @@ def _digamma(x: np.ndarray) -> np.ndarray:
     return out + np.log(x) - 0.5 / x - i * (1 / 12 - i * (1 / 120 - i / 252))
 
 
+def _kth_distances(x: np.ndarray, y: np.ndarray, k: int) -> np.ndarray:
+    """Distance (the greater of both differences) of each point to its k-th nearest other one.
+
+    Points are compared along the more finely graded axis with a window around each block, which grows until nothing
+    beyond it can be nearer.
+    """
+    if len(np.unique(np.round(y, 6))) > len(np.unique(np.round(x, 6))):
+        x, y = y, x
+    order = np.argsort(x)
+    x, y, n = x[order], y[order], len(x)
+    out, i, reach = np.zeros(n), 0, 64
+    while i < n:
+        stop = min(n, i + max(1, min(512, (1 << 20) // reach)))
+        low, high = max(0, i - reach), min(n, stop + reach)
+        d = np.maximum(np.abs(x[i:stop, None] - x[low:high]), np.abs(y[i:stop, None] - y[low:high]))
+        r = np.partition(d, k, axis=1)[:, k]
+        before = x[i:stop] - x[low - 1] if low else np.inf
+        after = x[high] - x[i:stop] if high < n else np.inf
+        if (r <= np.minimum(before, after)).all():
+            out[order[i:stop]] = r
+            i, reach = stop, max(64, reach * 9 // 10)
+        else:
+            reach *= 2
+    return out
+
+
 def mutual_information(x: np.ndarray, y: np.ndarray, discrete: bool, k: int = 3, seed: int = 42) -> float:
     """Nearest-neighbour estimate between one feature and the target, with a trace of noise against ties."""
     rng = np.random.default_rng(seed)
@@ -68,27 +94,17 @@ def mutual_information(x: np.ndarray, y: np.ndarray, discrete: bool, k: int = 3,
         return max(0.0, float(total))
     y = (y - y.mean()) / (y.std() or 1.0) + 1e-10 * rng.standard_normal(n)
     k = min(k, n - 1)
-    nx, ny = np.zeros(n), np.zeros(n)
-    sx, sy = np.sort(x), np.sort(y)
-    for i in range(0, n, 512):
-        d = np.maximum(np.abs(x[i : i + 512, None] - x), np.abs(y[i : i + 512, None] - y))
-        r = np.partition(d, k, axis=1)[:, k] * (1 - 1e-12)
-        for out, s, v in ((nx, sx, x), (ny, sy, y)):
-            out[i : i + 512] = np.searchsorted(s, v[i : i + 512] + r, "right") - np.searchsorted(s, v[i : i + 512] - r, "left")
+    r = _kth_distances(x, y, k) * (1 - 1e-12)
+    nx, ny = (np.searchsorted(s, v + r, "right") - np.searchsorted(s, v - r, "left") for s, v in ((np.sort(x), x), (np.sort(y), y)))
     return max(0.0, float(_digamma(np.array([n]))[0] + _digamma(np.array([k]))[0] - _digamma(np.maximum(nx, 1)).mean() - _digamma(np.maximum(ny, 1)).mean()))
 
 
-#: Rows on which mutual information is estimated at most, by order of a hash; a classifier-style bounded sample.
-MI_ROWS = 20_000
-
-
-def mutual_information_scores(df: DataFrame, cols: Sequence[str], y: str, discrete: bool, id_col: str, rows: int = MI_ROWS) -> DataFrame:
-    """(`feature`, `f`), one feature to a task, on at most `rows` rows."""
-    share = min(1.0, rows / max(1, df.count()))
-    sample = df.where(F.pmod(F.xxhash64(id_col), F.lit(1_000_000)) < int(share * 1_000_000))
-    cells = long_form(sample, cols, [y]).where(F.col("x").isNotNull() & F.col(y).isNotNull())
+def mutual_information_scores(df: DataFrame, cols: Sequence[str], y: str, discrete: bool, id_col: str) -> DataFrame:
+    """(`feature`, `f`) on all rows, one feature to a task, which holds that feature's values and the target's."""
+    cells = long_form(df, cols, [id_col, y]).where(F.col("x").isNotNull() & F.col(y).isNotNull())
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values(id_col)
         return pd.DataFrame({"feature": [g["feature"].iloc[0]], "f": [mutual_information(g["x"].to_numpy(float), g[y].to_numpy(float), discrete)]})
 
     return cells.groupBy("feature").applyInPandas(run, "feature string, f double")
@@ -106,7 +122,7 @@ MODEL_SELECTORS = ("RandomForest", "ExtraTrees", "AdaBoost", "GradientBoosting",
 @dataclass(frozen=True)
 class FeatureSelector:
     """Selects features by `method`: `NoFS`, `Anova`, `MutualInformation`, one of the tree models (importance at or
-    above the mean), `Logistic` or `Lasso` (weights above 1e-5), or a registered function (df, cols, y) -> names."""
+    above the mean), `Logistic` (half L1) or `Lasso` (weights above 1e-5), or a registered function (df, cols, y) -> names."""
 
     method: str = "NoFS"
     classification: bool = True
@@ -130,7 +146,8 @@ class FeatureSelector:
         elif self.method == "MutualInformation":
             names = top_k(mutual_information_scores(df, cols, y, self.classification, self.roles.id), self.k)
         elif self.method in (*MODEL_SELECTORS, "Logistic", "Lasso"):
-            weights = importances(fit_model(self.method, df, cols, y, self.classification), cols)
+            params = {"elasticNetParam": 0.5} if self.method == "Logistic" else {}
+            weights = importances(fit_model(self.method, df, cols, y, self.classification, **params), cols)
             cut = 1e-5 if self.method in ("Logistic", "Lasso") else sum(weights.values()) / max(1, len(weights))
             names = [c for c in cols if abs(weights[c]) >= cut]
         else:

@@ -135,6 +135,21 @@ def test_selection(learnable):
     assert {"p", "q"} <= set(chosen.selected)
 
 
+def test_mutual_information_of_all_rows(spark, learnable):
+    n = 24_000
+    x, c = np.random.default_rng(9).normal(size=n), (np.arange(n) % 3 == 0).astype(float)
+    x = x + 2 * c
+    df = spark.createDataFrame([(i, float(x[i]), float(c[i])) for i in range(n)], "rec_id long, x double, c double")
+    got = selection.mutual_information_scores(df, ["x"], "c", True, "rec_id").first()["f"]
+    assert got == pytest.approx(selection.mutual_information(x, c, True), abs=1e-9) and got > 0.1
+    for u, v in ((x[:700], x[:700] ** 2), (np.round(x[:700]), x[700:1400]), (np.round(x[:700]), np.round(x[700:1400]))):
+        d = np.sort(np.maximum(np.abs(u[:, None] - u), np.abs(v[:, None] - v)), axis=1)[:, 3]
+        assert (selection._kth_distances(u, v, 3) == d).all()
+    noise = [(float(i % 2), float(i % 2), float(np.sin(i * 7.0)) * 0.1) for i in range(200)]
+    frame = spark.createDataFrame([(i, *r) for i, r in enumerate(noise)], "rec_id long, activity double, p double, q double")
+    assert selection.FeatureSelector("Logistic").fit(frame).selected == ("p",)
+
+
 def test_validation(learnable):
     roles = Roles(others=("c",))
     fits = {"Linear": lambda t: models.fit_model("Linear", t, COLS, "activity", False), "Dummy": lambda t: models.fit_model("Dummy", t, COLS, "activity", False)}
