@@ -116,11 +116,12 @@ FROM a JOIN o ON a.endpoint IS NOT DISTINCT FROM o.endpoint"""
 
 
 def _fill(order: str, cutoff: str, first: str, second: str) -> str:
-    return f"""WITH RECURSIVE g AS (SELECT source, count(*) AS size, min(rec_id) AS first_id FROM train_val WHERE source IS NOT NULL GROUP BY source),
+    return f"""WITH RECURSIVE k AS (SELECT rec_id, source, coalesce('s' || source, 'r' || rec_id) AS g FROM train_val),
+g AS (SELECT g, count(*) AS size, min(rec_id) AS first_id FROM k GROUP BY g),
 o AS (SELECT *, row_number() OVER (ORDER BY {order}) AS k, sum(size) OVER () AS n FROM g),
-w AS (SELECT 0 AS k, CAST(0 AS HUGEINT) AS total, CAST(NULL AS VARCHAR) AS source, false AS fits
-  UNION ALL SELECT o.k, CASE WHEN w.total + o.size <= {cutoff} THEN w.total + o.size ELSE w.total END, o.source, w.total + o.size <= {cutoff} FROM w JOIN o ON o.k = w.k + 1)
-SELECT rec_id, source, CASE WHEN fits THEN '{first}' ELSE '{second}' END AS split FROM train_val JOIN w USING (source)"""
+w AS (SELECT 0 AS k, CAST(0 AS HUGEINT) AS total, CAST(NULL AS VARCHAR) AS g, false AS fits
+  UNION ALL SELECT o.k, CASE WHEN w.total + o.size <= {cutoff} THEN w.total + o.size ELSE w.total END, o.g, w.total + o.size <= {cutoff} FROM w JOIN o ON o.k = w.k + 1)
+SELECT rec_id, source, CASE WHEN fits THEN '{first}' ELSE '{second}' END AS split FROM k JOIN w USING (g)"""
 
 
 SQL["group_split"] = _fill("size DESC, first_id DESC", "floor(0.8 * n + 1e-9)", "train", "test")
@@ -179,15 +180,24 @@ SQL["roc_points"] = _CURVE + " SELECT endpoint, CAST(score AS DOUBLE) AS score,
 SQL["ranking_metrics"] = _CURVE + f""" SELECT endpoint,
   {r("CASE WHEN max(positives) > 0 AND max(negatives) > 0 THEN sum(pos * (negatives - fp + neg / 2)) / (max(positives) * max(negatives)) END")} AS roc_auc,
   {r("CASE WHEN max(positives) > 0 THEN sum(pos / positives * tp / (tp + fp)) END")} AS average_precision FROM k GROUP BY endpoint"""
-SQL["regression_metrics"] = f"""WITH n AS (SELECT endpoint, y, y * 0.9 + (rec_id % 7) * 0.1 - y AS e FROM train_val WHERE y IS NOT NULL AND NOT isnan(y) AND endpoint IS NOT NULL AND abs(y) BETWEEN 0.01 AND 1000)
-SELECT endpoint, {r("CASE WHEN var_pop(y) > 0 THEN 1 - avg(e * e) / var_pop(y) END")} AS r2, {r("avg(e * e)")} AS mse, {r("sqrt(avg(e * e))")} AS rmse, {r("avg(abs(e))")} AS mae,
-  {r("median(abs(e))")} AS median_ae, {r("avg(abs(e) / abs(y))")} AS mape, {r("max(abs(e))")} AS max_error FROM n GROUP BY endpoint"""
+def _digits(expr: str) -> str:
+    """Six places below a million, nine digits beyond it, where a relative error is divided by the epsilon only."""
+    return f"CASE WHEN abs({expr}) < 1e6 THEN {r(expr)} ELSE CAST(format('{{:.8e}}', {expr}) AS DOUBLE) END"
+
+
+SQL["regression_metrics"] = f"""WITH v AS (SELECT rec_id, endpoint, {clean("y")} AS y FROM train_val), n AS (SELECT endpoint, y, y * 0.9 + (rec_id % 7) * 0.1 - y AS e FROM v WHERE y IS NOT NULL AND endpoint IS NOT NULL),
+m AS (SELECT endpoint, CASE WHEN var_pop(y) > 0 THEN 1 - avg(e * e) / var_pop(y) END AS r2, avg(e * e) AS mse, sqrt(avg(e * e)) AS rmse, avg(abs(e)) AS mae,
+  median(abs(e)) AS median_ae, avg(abs(e) / greatest(abs(y), 2.220446049250313e-16::DOUBLE)) AS mape, max(abs(e)) AS max_error FROM n GROUP BY endpoint)
+SELECT endpoint, {", ".join(f"{_digits(c)} AS {c}" for c in ("r2", "mse", "rmse", "mae", "median_ae", "mape", "max_error"))} FROM m"""
 
 # ---- cross-validation reports and comparisons of methods
 
-_WHOLE = " AND ".join(f"CAST({m} AS VARCHAR) <> 'nan'" for m in METHODS)
-_S = "s AS (" + " UNION ALL ".join(f"SELECT endpoint, lower(scoring) AS scoring, cv_cycle, '{m}' AS method, {m} AS value FROM cv_report WHERE cv_cycle NOT IN ('mean', 'std', 'median') AND {_WHOLE}" for m in METHODS) + ")"
+_PRESENT = "cv_cycle NOT IN ('mean', 'std', 'median') AND CAST({m} AS VARCHAR) <> 'nan'"
+_S = "s AS (" + " UNION ALL ".join(f"SELECT endpoint, lower(scoring) AS scoring, cv_cycle, '{m}' AS method, {m} AS value FROM cv_report WHERE {_PRESENT.format(m=m)}" for m in METHODS) + ")"
 _B = "endpoint, scoring"
+#: Only cycles in which every method of the group has a score: what the paired tests compare.
+_SW = f"""{_S.replace("s AS (", "s0 AS (", 1)}, kk AS (SELECT {_B}, count(DISTINCT method) AS k FROM s0 GROUP BY {_B}),
+wc AS (SELECT {_B}, cv_cycle FROM s0 JOIN kk USING ({_B}) GROUP BY {_B}, cv_cycle, k HAVING count(DISTINCT method) = k), s AS (SELECT s0.* FROM s0 JOIN wc USING ({_B}, cv_cycle))"""
 SQL["cv_long"] = f"WITH {_S} SELECT * FROM s"
 _SUM = f"m AS (SELECT {_B}, method, avg(value) AS mean, stddev_pop(value) AS std, median(value) AS median FROM s GROUP BY {_B}, method)"
 SQL["cv_summary"] = f"WITH {_S}, {_SUM} SELECT {_B}, method, {r('mean')} AS mean, {r('std')} AS std, {r('median')} AS median FROM m"
@@ -209,17 +219,17 @@ _AN = f"""t AS (SELECT {_B}, avg(value) AS g, var_pop(value) * count(*) AS ss, c
 sm AS (SELECT {_B}, var_pop(m) * count(*) AS v FROM (SELECT {_B}, method, avg(value) AS m FROM s GROUP BY {_B}, method) GROUP BY {_B}),
 sc AS (SELECT {_B}, var_pop(m) * count(*) AS v FROM (SELECT {_B}, cv_cycle, avg(value) AS m FROM s GROUP BY {_B}, cv_cycle) GROUP BY {_B}),
 an AS (SELECT {_B}, k, n, sm.v * n AS ss_m, ss - sm.v * n - sc.v * k AS ss_e FROM t JOIN sm USING ({_B}) JOIN sc USING ({_B}))"""
-SQL["anova"] = f"WITH {_S}, {_AN} SELECT {_B}, {r('(ss_m / (k - 1)) / nullif(ss_e / ((k - 1) * (n - 1)), 0)')} AS f FROM an"
+SQL["anova"] = f"WITH {_SW}, {_AN} SELECT {_B}, {r('(ss_m / (k - 1)) / nullif(ss_e / ((k - 1) * (n - 1)), 0)')} AS f FROM an"
 _RK = f"""k AS (SELECT *, rank() OVER (PARTITION BY {_B}, cv_cycle ORDER BY value) + (count(*) OVER (PARTITION BY {_B}, cv_cycle, value) - 1) / 2.0 AS rank,
   count(*) OVER (PARTITION BY {_B}, cv_cycle) AS c, count(*) OVER (PARTITION BY {_B}, cv_cycle, value) AS ties FROM s)"""
 SQL["method_ranks"] = f"WITH {_S}, {_RK} SELECT {_B}, cv_cycle, method, value, CAST(rank AS DOUBLE) AS rank, {r('rank / c')} AS pct_rank FROM k"
 SQL["mean_pct_ranks"] = f"WITH {_S}, {_RK} SELECT {_B}, method, {r('avg(rank / c)')} AS mean_pct_rank FROM k GROUP BY {_B}, method"
 _RS = f"""rs AS (SELECT {_B}, method, CAST(sum(rank) AS DOUBLE) AS r FROM k GROUP BY {_B}, method), rr AS (SELECT {_B}, sum(r * r) AS rr FROM rs GROUP BY {_B}),
 z AS (SELECT {_B}, count(DISTINCT method) AS k, count(DISTINCT cv_cycle) AS n, sum(ties * ties - 1) AS tie, CAST(sum(rank * rank) AS DOUBLE) AS a FROM k GROUP BY {_B})"""
-SQL["friedman"] = f"WITH {_S}, {_RK}, {_RS} SELECT {_B}, {r('(12.0 / (n * k * (k + 1)) * rr - 3 * n * (k + 1)) / nullif(1 - tie / (n * k * (k * k - 1)), 0)')} AS q FROM z JOIN rr USING ({_B})"
-SQL["conover"] = f"""WITH {_S}, {_RK}, {_RS} SELECT {_B}, a.method AS method_1, b.method AS method_2, {r("abs(a.r - b.r) / nullif(sqrt(2 * (n * z.a - rr) / ((n - 1) * (k - 1))), 0)")} AS t
+SQL["friedman"] = f"WITH {_SW}, {_RK}, {_RS} SELECT {_B}, {r('(12.0 / (n * k * (k + 1)) * rr - 3 * n * (k + 1)) / nullif(1 - tie / (n * k * (k * k - 1)), 0)')} AS q FROM z JOIN rr USING ({_B})"
+SQL["conover"] = f"""WITH {_SW}, {_RK}, {_RS} SELECT {_B}, a.method AS method_1, b.method AS method_2, {r("abs(a.r - b.r) / nullif(sqrt(2 * (n * z.a - rr) / ((n - 1) * (k - 1))), 0)")} AS t
 FROM rs a JOIN rs b USING ({_B}) JOIN z USING ({_B}) JOIN rr USING ({_B}) WHERE a.method < b.method"""
-SQL["tukey"] = f"""WITH {_S}, {_AN}, m AS (SELECT {_B}, method, avg(value) AS mean FROM s GROUP BY {_B}, method)
+SQL["tukey"] = f"""WITH {_SW}, {_AN}, m AS (SELECT {_B}, method, avg(value) AS mean FROM s GROUP BY {_B}, method)
 SELECT {_B}, a.method AS method_1, b.method AS method_2, {r("a.mean - b.mean")} AS mean_diff, {r("sqrt(ss_e / ((k - 1) * (n - 1)) / n)")} AS se
 FROM m a JOIN m b USING ({_B}) JOIN an USING ({_B}) WHERE a.method < b.method"""
 SQL["box_data"] = f"WITH {_S} SELECT {_B}, method, " + ", ".join(f"{r(f'quantile_cont(value, {q})')} AS {n}" for q, n in ((0.0, "low"), (0.25, "q1"), (0.5, "median"), (0.75, "q3"), (1.0, "high"))) + f" FROM s GROUP BY {_B}, method"
@@ -234,8 +244,8 @@ SQL["conformal_intervals"] = f"""WITH {_S}, e AS (SELECT CAST(cv_cycle AS INTEGE
 p AS (SELECT endpoint || '/' || scoring AS id, CAST(cv_cycle AS INTEGER) % 5 AS fold, avg(value) AS predicted FROM s WHERE method = 'm_boost' GROUP BY 1, 2),
 n AS (SELECT count(*) AS n FROM e), v AS (SELECT id, list_sort(list(predicted - residual)) AS lo, list_sort(list(predicted + residual)) AS hi FROM p JOIN e USING (fold) GROUP BY id)
 SELECT id, round_even(lo[greatest(1, least(n, CAST(floor(0.1 * (n + 1) + 1e-9) AS BIGINT)))], 3) AS lower, round_even(hi[greatest(1, least(n, CAST(ceil(0.9 * (n + 1) - 1e-9) AS BIGINT)))], 3) AS upper FROM v, n"""
-SQL["write_back"] = "SELECT rec_id, CASE WHEN rec_id % 3 = 0 THEN rec_id / 2.0 ELSE y END AS y FROM test_set"
 _Y = f"t AS (SELECT rec_id, {clean('y')} AS y FROM test_set)"
+SQL["write_back"] = f"WITH {_Y} SELECT rec_id, CASE WHEN rec_id % 3 = 0 THEN rec_id / 2.0 ELSE y END AS y FROM t"
 SQL["prediction_summary"] = f"""WITH {_Y} SELECT count(*) AS n, {r("avg(y)")} AS mean, {r("stddev_pop(y)")} AS std, {r("avg(CASE WHEN y IS NULL THEN 1.0 ELSE 0.0 END)")} AS missing,
 {r("quantile_cont(y, 0.1)")} AS q10, {r("quantile_cont(y, 0.5)")} AS q50, {r("quantile_cont(y, 0.9)")} AS q90 FROM t"""
 SQL["prediction_extremes"] = f"""WITH {_Y} SELECT * FROM (SELECT rec_id, y, 'top' AS "end" FROM t WHERE y IS NOT NULL ORDER BY y DESC, rec_id LIMIT 3)

@@ -337,7 +337,7 @@ def conformal_intervals(spark: SparkSession, d: str) -> DataFrame:
 
 
 def write_back(spark: SparkSession, d: str) -> DataFrame:
-    records = table(spark, d, "test_set").select("rec_id", "y")
+    records = profile.missing_as_null(table(spark, d, "test_set").select("rec_id", "y"))
     predictions = records.where("rec_id % 3 = 0").select("rec_id", (F.col("rec_id") / 2.0).alias("y"))
     return inference.write_back(records, predictions, "rec_id", ["y"])
 
