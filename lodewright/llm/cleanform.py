@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import pandas as pd
@@ -9,14 +10,18 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from lodewright.sources.rejects import let
+
 #: Dash-like characters that stand for "-": U+2010..U+2015 and U+2212.
 DASHES = dict.fromkeys([*range(0x2010, 0x2016), 0x2212], "-")
-_DROPPED = r"[^a-z0-9()\[\]=#@+\-/\\.]"
+KEPT = "abcdefghijklmnopqrstuvwxyz0123456789()[]=#@+-/\\."
+_DROPPED = re.compile("[^" + re.escape(KEPT) + "]+")
+_DROPPED_ASCII = "".join(chr(c) for c in range(128) if chr(c) not in KEPT)
 
 
 def fold(text: str) -> str:
-    """NFKC, dashes to "-", lower case."""
-    return unicodedata.normalize("NFKC", text).translate(DASHES).lower()
+    """NFKC, dashes to "-", lower case, kept characters only."""
+    return _DROPPED.sub("", unicodedata.normalize("NFKC", text).translate(DASHES).lower())
 
 
 @F.pandas_udf(StringType())
@@ -27,17 +32,17 @@ def _fold(texts: pd.Series) -> pd.Series:
 def clean_pieces(col: Column) -> Column:
     """The kept pieces between dots, in their written order; an empty array or null where there is no structure.
 
-    Only strings with characters beyond ASCII pass through Python; the rest stays in the JVM.
+    Only strings with characters beyond ASCII pass through Python; the rest stays in the JVM, where a table of
+    characters takes a tenth of the time of a pattern.
     """
     odd = col.rlike(r"[^\x00-\x7F]")
-    kept = F.regexp_replace(F.lower(F.coalesce(_fold(F.when(odd, col)), col)), _DROPPED, "")
-    return F.filter(F.split(kept, r"\."), lambda x: x != "")
+    kept = F.coalesce(_fold(F.when(odd, col)), F.translate(F.lower(col), _DROPPED_ASCII, ""))
+    return let(kept, lambda text: F.filter(F.split(text, r"\."), lambda x: x != ""))
 
 
 def clean_form(col: Column) -> Column:
     """Pieces sorted by code point and joined with a dot; null where there is no structure."""
-    text = F.array_join(F.array_sort(clean_pieces(col)), ".")
-    return F.when(text != "", text)
+    return let(F.array_join(F.array_sort(clean_pieces(col)), "."), lambda text: F.when(text != "", text))
 
 
 def missing_to_null(col: Column) -> Column:

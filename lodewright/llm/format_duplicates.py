@@ -12,6 +12,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodewright.operators.hotkeys import join_group
 from lodewright.session import Scratch
 
 _MISSING = "\u0000"
@@ -25,9 +26,9 @@ def multiset_hash(pairs: Column, seed: int) -> Column:
 
 
 def same_multiset(a: Column, b: Column) -> Column:
-    """Equality of two arrays as multisets, by counting instead of sorting."""
+    """Equality of two arrays as multisets: as they stand, or by how often each value occurs, without sorting."""
     times = lambda xs, x: F.size(F.filter(xs, lambda y: y == x))
-    return (a == b) | ((F.size(a) == F.size(b)) & F.forall(a, lambda x: times(a, x) == times(b, x)))
+    return (a == b) | ((F.size(a) == F.size(b)) & F.forall(F.array_distinct(a), lambda x: times(a, x) == times(b, x)))
 
 
 def as_pairs(fields: Mapping[str, Column]) -> Column:
@@ -39,35 +40,35 @@ def as_pairs(fields: Mapping[str, Column]) -> Column:
     return F.concat(*(named(name, values) for name, values in fields.items()))
 
 
-def collapse(df: DataFrame, id_col: str, pairs_col: str) -> DataFrame:
+def collapse(df: DataFrame, id_col: str, pairs_col: str, hot_rows: int | None = None) -> DataFrame:
     """(`first_id`, `id`) for every record: the smallest id among its copies and its own.
 
     Rows whose pairs are null take no part. Missing values equal each other. Repeated rows of one id give repeated
     rows. An empty input gives an empty output; other columns are ignored.
 
-    Grouping is one aggregation with map-side combine, so a group with a third of all rows costs no more than others;
-    the comparison joins each record with its group's one first record, which adaptive execution splits where one
-    group fills a partition.
+    The normalised pairs and their sums are written once. Grouping sends two sums, an id and a count, combined on the
+    map side. Records of one copy are done then; of the others, whole records meet their group's first record, and
+    groups with a large share of the rows are split over many tasks (`join_group`). Records whose sums collide with
+    those of another record form groups of their own in a further round.
     """
     scratch = Scratch(df.sparkSession)
-    rows = df.where(F.col(pairs_col).isNotNull()).select(
-        F.col(id_col).alias("id"), F.col(pairs_col).alias("pairs"),
-        multiset_hash(F.col(pairs_col), _SEEDS[0]).alias("h1"), multiset_hash(F.col(pairs_col), _SEEDS[1]).alias("h2"),
-    )
-    first = rows.groupBy("h1", "h2").agg(F.min("id").alias("first_id"), F.min_by("pairs", "id").alias("first_pairs"))
-    compared = scratch.save(
-        rows.join(first, ["h1", "h2"]).select(
-            "first_id", "id", F.when(~same_multiset(F.col("pairs"), F.col("first_pairs")), F.col("pairs")).alias("other")
-        )
-    )
-    found = compared.where(F.col("other").isNull()).select("first_id", "id")
-    collided = compared.where(F.col("other").isNotNull())
-    if collided.isEmpty():
-        return found
-    # Different records with both sums equal: they are told apart by their whole content.
-    rest = collided.withColumn("text", F.array_sort("other"))
-    heads = rest.groupBy("text").agg(F.min("id").alias("first_id"))
-    return found.unionByName(rest.drop("first_id").join(heads, "text").select("first_id", "id"))
+    pairs = scratch.save(df.where(F.col(pairs_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(pairs_col).alias("pairs")))
+    rest = scratch.save(pairs.select("id", "pairs", multiset_hash(F.col("pairs"), _SEEDS[0]).alias("h1"), multiset_hash(F.col("pairs"), _SEEDS[1]).alias("h2")))
+    scratch.drop(pairs)
+    found = None
+    while True:
+        groups = scratch.save(rest.groupBy("h1", "h2").agg(F.min("id").alias("first_id"), F.count("*").alias("n")))
+        several = groups.where("n > 1")
+        members = scratch.save(join_group(rest, several, ["h1", "h2"], "id", hot_rows=hot_rows))
+        heads = members.where("id = first_id").groupBy("h1", "h2").agg(F.first("pairs").alias("first_pairs"))
+        heads = scratch.save(heads.join(several.select("h1", "h2", "n"), ["h1", "h2"]))
+        other = F.when(~same_multiset(F.col("pairs"), F.col("first_pairs")), F.col("pairs")).alias("other")
+        compared = scratch.save(join_group(members, heads, ["h1", "h2"], "id", hot_rows=hot_rows).select("h1", "h2", "first_id", "id", other))
+        part = groups.where("n = 1").select("first_id", F.col("first_id").alias("id")).unionByName(compared.where("other is null").select("first_id", "id"))
+        found = part if found is None else found.unionByName(part)
+        rest = compared.where("other is not null").select("id", F.col("other").alias("pairs"), "h1", "h2")
+        if rest.isEmpty():
+            return found
 
 
 def collapsed(df: DataFrame, id_col: str, pairs_col: str) -> DataFrame:

@@ -10,6 +10,12 @@ from pyspark.sql import functions as F
 from lodewright.llm import calibrated_sample, cross_split, density_clusters, format_duplicates, leakage, packing, reading_level, related_splits
 from lodewright.llm.cleanform import clean_form, clean_pieces, missing_to_null
 from lodewright.session import Scratch, table
+from lodewright.sources.rejects import let
+
+
+def _one(body):
+    """The body as a function of one argument, which is what an array function takes for a value alone."""
+    return lambda x: body(x)
 
 
 def _format_rows(spark: SparkSession, d: str) -> DataFrame:
@@ -24,9 +30,9 @@ def _format_rows(spark: SparkSession, d: str) -> DataFrame:
         (tv, "train_val", "drug", {"endpoint": text(F.col("endpoint")), "y": text(missing_to_null(F.col("y")))}),
         (tc, "testcase", "smiles", {"pchembl": text(missing_to_null(F.col("pchembl")))}),
     ):
-        pieces = rows.withColumn("__pieces", clean_pieces(F.col(structure)))
-        fields = {"table": F.array(F.lit(name)), "structure": F.col("__pieces"), **others}
-        parts.append(pieces.select("rec_id", F.when(F.size("__pieces") > 0, format_duplicates.as_pairs(fields)).alias("pairs")))
+        fields = {"table": F.array(F.lit(name)), **others}
+        as_record = lambda pieces, fields=fields: F.when(F.size(pieces) > 0, format_duplicates.as_pairs(fields | {"structure": pieces}))
+        parts.append(rows.select("rec_id", let(clean_pieces(F.col(structure)), _one(as_record)).alias("pairs")))
     return reduce(DataFrame.unionByName, parts)
 
 
