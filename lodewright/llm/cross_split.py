@@ -11,11 +11,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodewright.llm.edits import segment_keys, signature, signature_distance, substring_keys, within
+from lodewright.operators.hotkeys import join_group
 from lodewright.session import Scratch
 
 
+#: A class of copies is spread over one more part for each so many rows when pairs are expanded.
+PART_ROWS = 50_000
+
+
 def _distinct(rows: DataFrame) -> DataFrame:
-    return rows.where("text is not null and text <> ''").groupBy("text").agg(F.min("id").alias("id"))
+    return rows.where("text is not null and text <> ''").groupBy("text").agg(F.min("id").alias("id"), F.count("*").alias("n"))
 
 
 def linked_texts(train: DataFrame, evals: DataFrame, k: int, scratch: Scratch) -> DataFrame:
@@ -37,6 +42,28 @@ def linked_texts(train: DataFrame, evals: DataFrame, k: int, scratch: Scratch) -
     )
 
 
+def _classes(rows: DataFrame, scratch: Scratch) -> DataFrame:
+    """Distinct texts under their first record's id, with their number of rows and signatures."""
+    s0, s1 = signature(F.col("text"))
+    return scratch.save(_distinct(rows.select("id", "text")).select("id", "text", "n", s0.alias("s0"), s1.alias("s1")))
+
+
+def _members(rows: DataFrame, classes: DataFrame, linked: DataFrame, scratch: Scratch) -> DataFrame:
+    """(`id`, `n`, `member`): the rows of the linked classes, whatever the size of a class."""
+    wanted = scratch.save(classes.join(linked, "id").select("text", "id", F.col("n").alias("size"), "n"))
+    own = rows.where("text is not null and text <> ''").withColumnRenamed("id", "member")
+    return join_group(own, wanted, ["text"], "member").drop("text").withColumnRenamed("size", "n")
+
+
+def _spread(links: DataFrame, members: DataFrame, sizes: DataFrame, name: str) -> DataFrame:
+    """Links with the class `name` replaced by its members; large classes meet their links part by part."""
+    parts = F.ceil(F.col("n") / F.lit(PART_ROWS)).cast("int")
+    many = links.join(sizes.select(F.col("id").alias(f"{name}_id"), "n"), f"{name}_id")
+    many = many.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("n")
+    own = members.select(F.col("id").alias(f"{name}_id"), F.col("member").alias(f"{name}_member"), F.pmod(F.xxhash64("member"), parts).cast("int").alias("part"))
+    return many.join(own, [f"{name}_id", "part"]).drop("part", f"{name}_id")
+
+
 def cross_split_pairs(train: DataFrame, evals: DataFrame, k: int = 3, scratch: Scratch | None = None) -> DataFrame:
     """(`train_id`, `eval_id`): every pair of a training and an evaluation record at most k edits apart.
 
@@ -44,19 +71,25 @@ def cross_split_pairs(train: DataFrame, evals: DataFrame, k: int = 3, scratch: S
     side gives no pairs. Texts of any length are compared whole.
     """
     scratch = scratch or Scratch(train.sparkSession)
-    members, firsts = [], []
-    for rows in (train, evals):
-        rows = rows.select("id", "text")
-        first = _distinct(rows)
-        s0, s1 = signature(F.col("text"))
-        firsts.append(scratch.save(first.select("id", "text", s0.alias("s0"), s1.alias("s1"))))
-        members.append(rows.where("text is not null and text <> ''").withColumnRenamed("id", "member"))
+    train, evals = train.select("id", "text"), evals.select("id", "text")
+    firsts = [_classes(rows, scratch) for rows in (train, evals)]
     links = linked_texts(*firsts, k, scratch)
-    sides = []
-    for rows, first, name in zip(members, firsts, ("train", "eval"), strict=True):
-        linked = links.select(F.col(f"{name}_id").alias("id")).distinct().join(first.select("id", "text"), "id")
-        sides.append(rows.join(linked, "text").select(F.col("id").alias(f"{name}_id"), F.col("member").alias(f"{name}_member")))
-    return (
-        links.join(sides[0], "train_id").join(sides[1], "eval_id")
-        .select(F.col("train_member").alias("train_id"), F.col("eval_member").alias("eval_id"))
-    )
+    for rows, first, name in zip((train, evals), firsts, ("train", "eval"), strict=True):
+        linked = links.select(F.col(f"{name}_id").alias("id")).distinct()
+        links = _spread(links, _members(rows, first, linked, scratch), first, name)
+    return links.select(F.col("train_member").alias("train_id"), F.col("eval_member").alias("eval_id"))
+
+
+def overlap_counts(train: DataFrame, evals: DataFrame, k: int = 3, scratch: Scratch | None = None) -> DataFrame:
+    """`evals` with `n_pairs`, the number of training records at most k edits away, for records that have any.
+
+    As `cross_split_pairs`, but pairs are counted by the sizes of the classes of copies and never expanded. Other
+    columns of `evals` are kept.
+    """
+    scratch = scratch or Scratch(train.sparkSession)
+    firsts = [_classes(rows, scratch) for rows in (train, evals)]
+    links = linked_texts(*firsts, k, scratch)
+    sizes = firsts[0].select(F.col("id").alias("train_id"), F.col("n").alias("n_train"))
+    counted = links.join(sizes, "train_id").groupBy(F.col("eval_id").alias("id")).agg(F.sum("n_train").alias("n_pairs"))
+    wanted = scratch.save(firsts[1].join(counted, "id").select("text", "n_pairs", F.col("n").alias("__n")))
+    return join_group(evals, wanted, ["text"], "id", n_col="__n")

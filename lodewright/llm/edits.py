@@ -71,42 +71,95 @@ def within(a: Column, b: Column, k: int) -> Column:
     return F.levenshtein(a, b, k) >= 0
 
 
-def segment(length: Column, i: Column, k: int) -> tuple[Column, Column]:
+_BASE = 0x9E3779B97F4A7C15
+_INVERSE = pow(_BASE, -1, 1 << 64)
+#: Characters of a batch that are hashed at once.
+_CELLS = 1 << 22
+
+
+def _mixed(h: np.ndarray, *numbers: int) -> np.ndarray:
+    """A hash of substrings with the numbers of their place, spread over all 64 bits."""
+    for n in numbers:
+        h = (h ^ np.uint64(n & 0xFFFFFFFF)) * np.uint64(0xD6E8FEB86659FD93)
+        h = h ^ (h >> np.uint64(32))
+    return h
+
+
+class Windows:
+    """Hashes of substrings of equally long texts: sums of codes times powers, so that any window is one subtraction."""
+
+    def __init__(self, texts: list[str], length: int):
+        codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(texts), length)
+        powers = np.cumprod(np.concatenate([[np.uint64(1)], np.full(length, np.uint64(_BASE))]))
+        self.back = np.cumprod(np.concatenate([[np.uint64(1)], np.full(length, np.uint64(_INVERSE))]))
+        self.sums = np.zeros((len(texts), length + 1), np.uint64)
+        np.cumsum((codes.astype(np.uint64) + np.uint64(1)) * powers[:length], axis=1, out=self.sums[:, 1:])
+
+    def at(self, start: int, size: int) -> np.ndarray:
+        return (self.sums[:, start + size] - self.sums[:, start]) * self.back[start]
+
+
+def keys_by_length(texts: pd.Series, lengths: np.ndarray, places) -> pd.Series:
+    """Arrays of hashes for the first `lengths` characters of each text; `places(length)` lists (start, size, *marks)."""
+    out: list[np.ndarray | None] = [None] * len(texts)
+    values = texts.tolist()
+    order = np.argsort(lengths, kind="stable")
+    ends = np.flatnonzero(np.diff(lengths[order], append=-1)) + 1
+    begin = 0
+    for end in ends.tolist():
+        rows, length = order[begin:end], int(lengths[order[begin]])
+        begin = end
+        wanted = list(places(length))
+        step = max(1, _CELLS // max(1, length))
+        for i in range(0, len(rows), step):
+            part = rows[i : i + step]
+            windows = Windows([values[r][:length] for r in part], length)
+            keys = np.stack([_mixed(windows.at(start, size), *marks) for start, size, *marks in wanted], axis=1) if wanted else np.zeros((len(part), 0), np.uint64)
+            for r, row in zip(part.tolist(), keys.view(np.int64), strict=True):
+                out[r] = row
+    return pd.Series(out, index=texts.index, dtype=object)
+
+
+def segment(length: int, i: int, k: int) -> tuple[int, int]:
     """Start (from 0) and length of the i-th of k + 1 segments, as even as possible, the longer ones last."""
-    base = F.floor(length / (k + 1)).cast("int")
-    short = F.lit(k + 1) - F.pmod(length, F.lit(k + 1))
-    return i * base + F.greatest(F.lit(0), i - short), base + F.when(i >= short, 1).otherwise(0)
+    base, short = length // (k + 1), k + 1 - length % (k + 1)
+    return i * base + max(0, i - short), base + (i >= short)
 
 
-def segment_keys(text: Column, k: int) -> Column:
-    """Hashes of the k + 1 segments of a text, each with the text's length and the segment's number."""
-    length = F.length(text)
+def _segments(length: int, k: int):
+    for i in range(k + 1):
+        yield (*segment(length, i, k), length, i)
+
+
+def _substrings(length: int, k: int):
+    for other in range(max(1, length - k), length + k + 1):
+        shift = length - other
+        for i in range(k + 1):
+            start, size = segment(other, i, k)
+            low = max(0, start - i, start + shift - (k - i))
+            for p in range(low, min(length - size, start + i, start + shift + (k - i)) + 1):
+                yield p, size, other, i
+
+
+def _keys(places, k: int):
+    @F.pandas_udf(ArrayType(LongType()))
+    def run(texts: pd.Series) -> pd.Series:
+        return keys_by_length(texts, texts.str.len().to_numpy(np.int64), lambda length: places(length, k))
 
-    def key(i: Column) -> Column:
-        start, size = segment(length, i, k)
-        return F.xxhash64(length, i, F.substring(text, start + 1, size))
+    return run
 
-    return F.transform(F.sequence(F.lit(0), F.lit(k)), key)
+
+def segment_keys(text: Column, k: int) -> Column:
+    """Hashes of the k + 1 segments of a text, each with the text's length and the segment's number."""
+    return _keys(_segments, k)(text)
 
 
 def substring_keys(text: Column, k: int) -> Column:
     """Hashes of all substrings that can equal a segment of a text at most k edits away.
 
     For each possible length of the other text and each segment, the positions are those that both the view from the
-    left (at most i edits before the segment) and from the right (at most k - i edits after it) allow.
+    left (at most i edits before the segment) and from the right (at most k - i edits after it) allow. All windows of
+    a batch's texts of one length are hashed at once; equal windows have equal hashes, and others are told apart by
+    the comparison that follows.
     """
-    length = F.length(text)
-
-    def of_length(other: Column) -> Column:
-        def of_segment(i: Column) -> Column:
-            start, size = segment(other, i, k)
-            shift = length - other
-            low = F.greatest(F.lit(0), start - i, start + shift - (F.lit(k) - i))
-            high = F.least(length - size, start + i, start + shift + (F.lit(k) - i))
-            return F.when(
-                low <= high, F.transform(F.sequence(low, F.greatest(low, high)), lambda p: F.xxhash64(other, i, F.substring(text, p + 1, size)))
-            ).otherwise(F.array().cast("array<bigint>"))
-
-        return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(k)), of_segment))
-
-    return F.flatten(F.transform(F.sequence(F.greatest(F.lit(1), length - k), length + k), of_length))
+    return _keys(_substrings, k)(text)

@@ -31,6 +31,12 @@ _TOKENS = r"len(regexp_extract_all(text, '[A-Za-z0-9_]+|[^A-Za-z0-9_ \t\r\n\f\v]
 #: A text at most 3 edits away contains one of four parts somewhere; the parts only spare the distances of other pairs.
 _PARTS = " OR ".join(f"contains(ts.s, substr(es.s, 1 + {i} * len(es.s) // 4, {i + 1} * len(es.s) // 4 - {i} * len(es.s) // 4))" for i in range(4))
 
+_LINKED = f"""WITH t AS (SELECT rec_id, {clean("drug")} AS s FROM train_val WHERE split_name = 'train'),
+e AS (SELECT rec_id, {clean("drug")} AS s, 'valid' AS part, source FROM train_val WHERE split_name = 'valid'
+  UNION ALL SELECT rec_id, {clean("drug")}, 'test_set', source FROM test_set UNION ALL SELECT rec_id, {clean("smiles")}, 'testcase', source FROM testcase),
+ts AS (SELECT DISTINCT s FROM t WHERE s IS NOT NULL), es AS (SELECT DISTINCT s FROM e WHERE s IS NOT NULL),
+p AS (SELECT ts.s AS a, es.s AS b FROM ts JOIN es ON abs(len(ts.s) - len(es.s)) <= 3 AND ({_PARTS}) WHERE levenshtein(ts.s, es.s) <= 3)"""
+
 SQL: dict[str, str] = {
     "p1_found": _COPIES + ", g AS (SELECT rec_id, min(rec_id) OVER (PARTITION BY t, s, e, v) AS first_rec_id FROM r WHERE s IS NOT NULL) SELECT first_rec_id, rec_id FROM g WHERE rec_id <> first_rec_id",
     "p1_collapsed": _COPIES + " SELECT min(rec_id) AS first_rec_id, count(*) AS n_copies FROM r WHERE s IS NOT NULL GROUP BY t, s, e, v",
@@ -38,11 +44,9 @@ SQL: dict[str, str] = {
     "p2_report": _PLAN + """ SELECT band_id, endpoint, n_rows, CAST(greatest(min_rows, ceil(target_pct * size / 100)) AS BIGINT) AS wanted,
   CAST(least(n_rows, greatest(min_rows, ceil(target_pct * size / 100))) AS BIGINT) AS n_drawn,
   CAST(greatest(0, greatest(min_rows, ceil(target_pct * size / 100)) - n_rows) AS BIGINT) AS shortfall FROM b JOIN c USING (band_id)""",
-    "p4_found": f"""WITH t AS (SELECT rec_id, {clean("drug")} AS s FROM train_val WHERE split_name = 'train'),
-e AS (SELECT rec_id, {clean("drug")} AS s FROM train_val WHERE split_name = 'valid' UNION ALL SELECT rec_id, {clean("drug")} FROM test_set UNION ALL SELECT rec_id, {clean("smiles")} FROM testcase),
-ts AS (SELECT DISTINCT s FROM t WHERE s IS NOT NULL), es AS (SELECT DISTINCT s FROM e WHERE s IS NOT NULL),
-p AS (SELECT ts.s AS a, es.s AS b FROM ts JOIN es ON abs(len(ts.s) - len(es.s)) <= 3 AND ({_PARTS}))
-SELECT least(t.rec_id, e.rec_id) AS rec_id_a, greatest(t.rec_id, e.rec_id) AS rec_id_b FROM p JOIN t ON t.s = a JOIN e ON e.s = b WHERE levenshtein(a, b) <= 3""",
+    "p4_found": _LINKED + " SELECT least(t.rec_id, e.rec_id) AS rec_id_a, greatest(t.rec_id, e.rec_id) AS rec_id_b FROM p JOIN t ON t.s = a JOIN e ON e.s = b",
+    "p4_report": _LINKED + """, c AS (SELECT e.rec_id, any_value(part) AS part, any_value(source) AS source, count(*) AS n FROM p JOIN t ON t.s = a JOIN e ON e.s = b GROUP BY e.rec_id)
+SELECT part, source, count(*) AS n_records, CAST(sum(n) AS BIGINT) AS n_pairs FROM c GROUP BY part, source""",
     "p5_found": f"""WITH RECURSIVE n AS (SELECT rec_id, 'c' || {clean("drug")} AS k FROM train_val
   UNION ALL SELECT rec_id, 's' || regexp_replace(upper(study_id), '[^A-Z0-9]', '', 'g') FROM train_val),
 h AS (SELECT k, min(rec_id) AS head FROM n WHERE k IS NOT NULL GROUP BY k),

@@ -100,12 +100,8 @@ def p4_report(spark: SparkSession, d: str) -> DataFrame:
     """Per evaluation split and source: evaluation records with an overlap, and pairs."""
     scratch = Scratch(spark)
     train, evals = (scratch.save(x) for x in _sides(spark, d))
-    pairs = cross_split.cross_split_pairs(train.select("id", "text"), evals.select("id", "text"), scratch=scratch)
-    by_record = pairs.groupBy("eval_id").agg(F.count("*").alias("n"))
-    return (
-        by_record.join(evals.select(F.col("id").alias("eval_id"), "part", "source"), "eval_id")
-        .groupBy("part", "source").agg(F.count("*").alias("n_records"), F.sum("n").alias("n_pairs"))
-    )
+    counted = cross_split.overlap_counts(train, evals, scratch=scratch)
+    return counted.groupBy("part", "source").agg(F.count("*").alias("n_records"), F.sum("n_pairs").alias("n_pairs"))
 
 
 def _related(spark: SparkSession, d: str) -> DataFrame:
