@@ -138,7 +138,8 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_clusters(spark: SparkSession, d: str) -> DataFrame:
-    return density_clusters.density_clusters(_structures(spark, d))[0]
+    """With four samples to a core, so that mutual reachability weighs down thin chains."""
+    return density_clusters.density_clusters(_structures(spark, d), density_clusters.Settings(min_samples=4))[0]
 
 
 def _packed(spark: SparkSession, d: str) -> DataFrame:
