@@ -53,6 +53,13 @@ p AS (SELECT *,
     ELSE false END AS failed FROM h)
 """
 SQL["p3_found"] = _PARSED + "SELECT raw_id FROM p WHERE failed"
+SQL["p3_rejects"] = _PARSED + """SELECT raw_id, file_name, line_no, CASE WHEN raw_line IS NULL THEN 'no line'
+  WHEN record_kind IS NULL OR record_kind NOT IN ('train_val', 'testcase') THEN 'unknown record kind'
+  WHEN NOT sound THEN CASE WHEN (len(line) - len(replace(line, '"', ''))) % 2 = 1 THEN 'unclosed quote' ELSE 'misplaced quote' END
+  WHEN ok IS NULL THEN 'field count ' || len(fields) WHEN s = '' THEN 'empty structure'
+  WHEN NOT regexp_full_match(s, '[A-Za-z0-9()\\[\\]=#@+\\-/\\\\.]*') THEN 'invalid character in structure' WHEN regexp_matches(outside, '[\\[\\]]') THEN 'unbalanced square bracket'
+  WHEN list_sum(steps) <> 0 OR list_min(list_transform(range(1, len(steps) + 1), lambda i: list_sum(steps[1:i]))) < 0 THEN 'unbalanced round bracket'
+  WHEN """ + " OR ".join(f"(len(outside) - len(replace(outside, '{k}', ''))) % 2 = 1" for k in range(10)) + """ THEN 'unpaired ring digit' ELSE 'invalid number' END AS reason FROM p WHERE failed"""
 SQL["p3_loaded"] = _PARSED + "SELECT raw_id, record_kind, CASE WHEN record_kind = 'train_val' THEN ok[1] END AS drug_id, s AS structure, TRY_CAST(num AS DOUBLE) AS result FROM p WHERE NOT failed"
 
 # ---- preprocessing

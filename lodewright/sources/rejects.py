@@ -11,10 +11,16 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodewright.operators.hotkeys import join_group
+from lodewright.session import Scratch
+
 #: Stand-ins while a line is cut; the escape keeps them apart from the same characters in the data.
 _CUT, _ESC = "\u0001", "\u0002"
 
 NUMBER = r"^[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?$"
+#: Entries of a dictionary of invalid values that may be sent to every task (and a hundred times as many characters).
+SMALL_DICTIONARY = 50_000
+_NOT_ROUND = "".join(chr(c) for c in range(128) if chr(c) not in "()")
 STRUCTURE_CHARS = r"^[A-Za-z0-9()\[\]=#@+\-/\\.]*$"
 
 
@@ -88,24 +94,26 @@ def number_error(value: Column) -> Column:
 
 
 def structure_error(value: Column) -> Column:
-    """Reason why a structure field is invalid, or null."""
-    outside = F.regexp_replace(value, r"\[[^\[\]()]*\]", "")
-    rounds = F.regexp_replace(outside, r"[^()]", "")
-    depth = F.aggregate(
-        F.split(rounds, ""),
-        F.lit(0),
-        lambda d, c: F.when(d < 0, d).when(c == "(", d + 1).when(c == ")", d - 1).otherwise(d),
-    )
-    odd_digit = F.lit(False)
-    for digit in "0123456789":
-        odd_digit = odd_digit | ((F.length(outside) - F.length(F.replace(outside, F.lit(digit), F.lit("")))) % 2 == 1)
-    return (
-        F.when(value == "", F.lit("empty structure"))
-        .when(~value.rlike(STRUCTURE_CHARS), F.lit("invalid character in structure"))
-        .when(outside.rlike(r"[\[\]]"), F.lit("unbalanced square bracket"))
-        .when(depth != 0, F.lit("unbalanced round bracket"))
-        .when(odd_digit, F.lit("unpaired ring digit"))
-    )
+    """Reason why a structure field is invalid, or null; what stands outside square brackets is cut out once."""
+
+    def reason(outside: Column) -> Column:
+        depth = F.aggregate(
+            F.split(F.translate(outside, _NOT_ROUND, ""), ""),
+            F.lit(0),
+            lambda d, c: F.when(d < 0, d).when(c == "(", d + 1).when(c == ")", d - 1).otherwise(d),
+        )
+        odd_digit = F.lit(False)
+        for digit in "0123456789":
+            odd_digit = odd_digit | ((F.length(outside) - F.length(F.replace(outside, F.lit(digit), F.lit("")))) % 2 == 1)
+        return (
+            F.when(value == "", F.lit("empty structure"))
+            .when(~value.rlike(STRUCTURE_CHARS), F.lit("invalid character in structure"))
+            .when(outside.rlike(r"[\[\]]"), F.lit("unbalanced square bracket"))
+            .when(depth != 0, F.lit("unbalanced round bracket"))
+            .when(odd_digit, F.lit("unpaired ring digit"))
+        )
+
+    return let(F.regexp_replace(value, r"\[[^\[\]()]*\]", ""), reason)
 
 
 def parse_records(
@@ -118,7 +126,12 @@ def parse_records(
     those names are replaced. A null line and an unknown record kind are failures with their own reasons. Rows are kept
     one for one, repeated ones included, and an empty input gives an empty output. Very long lines are safe: no pattern
     with nested repetition runs over a line. One carriage return at the end of a line is ignored.
+
+    Lines are cut once and written. Values are checked once per distinct value and column; a dictionary of invalid
+    values of at most `SMALL_DICTIONARY` entries goes to every task, a greater one is joined, with frequent values and
+    missing ones spread over parts.
     """
+    scratch = Scratch(df.sparkSession)
     keep = [c for c in df.columns if c not in (line_col, "drug_id", "structure", "result", "reason")]
     line = F.regexp_replace(F.col(line_col), r"\r\z", "")
     n_fields, at = F.lit(None).cast("int"), {c: F.lit(None).cast("int") for c in ("drug_id", "structure", "number")}
@@ -127,7 +140,7 @@ def parse_records(
         n_fields = F.when(here, F.lit(len(k.fields))).otherwise(n_fields)
         places = {"drug_id": k.fields.index("drug_id") if "drug_id" in k.fields else None, "structure": k.structure, "number": k.number}
         at = {c: F.when(here, F.lit(places[c]).cast("int")).otherwise(e) for c, e in at.items()}
-    cut = (
+    cut = scratch.save(
         df.select(*keep, line.alias("__line"))
         .withColumn("__quoting", quoting_error(quote_parts(F.col("__line"))))
         .withColumn("__fields", F.when(F.col("__quoting").isNull(), split_fields(F.col("__line"))))
@@ -141,32 +154,23 @@ def parse_records(
         .withColumn("__ok", F.when(F.col("__reason").isNull(), F.col("__fields")))
         .select(*keep, "__reason", *(F.get("__ok", e).alias(f"__{c}") for c, e in at.items()))
     )
-
-    def dictionary(column: str, error, typed: Column | None = None) -> DataFrame:
-        """Each distinct value of a column once, with why it is invalid; valid ones only where they carry a typed value."""
-        values = cut.where(F.col(column).isNotNull() & (F.col(column) != "")).select(column).distinct()
-        out = values.withColumn(f"{column}_why", error(F.col(column)))
-        return out.where(F.col(f"{column}_why").isNotNull()) if typed is None else out.withColumn(f"{column}_typed", F.when(F.col(f"{column}_why").isNull(), typed))
-
-    bad_structures = dictionary("__structure", structure_error)
-    numbers = dictionary("__number", number_error, F.expr("try_cast(__number as double)"))
+    out = cut
+    for column, error in (("__structure", structure_error), ("__number", number_error)):
+        # Each distinct value of a column is cast or checked once; the invalid ones, with their number of rows, are the dictionary.
+        values = cut.where(F.col(column).isNotNull() & (F.col(column) != "")).groupBy(column).agg(F.count("*").alias("__n"))
+        invalid = scratch.save(values.withColumn(f"{column}_why", error(F.col(column))).where(F.col(f"{column}_why").isNotNull()))
+        size, characters = invalid.agg(F.count("*"), F.coalesce(F.sum(F.length(column)), F.lit(0))).first()
+        if size <= SMALL_DICTIONARY and characters <= 100 * SMALL_DICTIONARY:
+            out = out.join(F.broadcast(invalid.drop("__n")), column, "left")  # measured: within the two bounds
+        else:
+            out = join_group(out, invalid, [column], id_col, n_col="__n", how="left")
     return (
-        cut.join(bad_structures, "__structure", "left")
-        .join(numbers, "__number", "left")
-        .withColumn(
-            "reason",
-            F.coalesce(
-                "__reason",
-                F.when(F.col("__structure") == "", F.lit("empty structure")),
-                "__structure_why",
-                "__number_why",
-            ),
-        )
+        out.withColumn("reason", F.coalesce("__reason", F.when(F.col("__structure") == "", F.lit("empty structure")), "__structure_why", "__number_why"))
         .select(
             *keep,
             F.when(F.col("reason").isNull(), F.col("__drug_id")).alias("drug_id"),
             F.when(F.col("reason").isNull(), F.col("__structure")).alias("structure"),
-            F.when(F.col("reason").isNull(), F.col("__number_typed")).alias("result"),
+            F.when(F.col("reason").isNull(), F.expr("try_cast(__number as double)")).alias("result"),
             "reason",
         )
     )
