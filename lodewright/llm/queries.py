@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lodewright.llm import calibrated_sample, cross_split, density_clusters, format_duplicates, leakage, packing, reading_level, related_splits
 from lodewright.llm.cleanform import clean_form, clean_pieces, missing_to_null
+from lodewright.operators.hotkeys import join_group
 from lodewright.session import Scratch, table
 from lodewright.sources.rejects import let
 
@@ -104,26 +105,51 @@ def p4_report(spark: SparkSession, d: str) -> DataFrame:
     return counted.groupBy("part", "source").agg(F.count("*").alias("n_records"), F.sum("n_pairs").alias("n_pairs"))
 
 
+_KEYS = ["compound", "study"]
+
+
 def _related(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "train_val").select(
-        "rec_id", clean_form(F.col("drug")).alias("compound"), related_splits.code_key(F.col("study_id")).alias("study"), missing_to_null(F.col("y")).alias("value")
+        "rec_id", clean_form(F.col("drug")).alias("compound"), related_splits.code_key(F.col("study_id")).alias("study"), missing_to_null(F.col("y")).alias("value"), "loaded_at"
     )
 
 
+def _batches(spark: SparkSession, d: str, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """The records loaded first, about nine tenths, and those loaded later."""
+    rows = scratch.save(_related(spark, d))
+    cut = rows.agg(F.percentile_approx("loaded_at", F.lit(0.9))).first()[0]
+    late = F.coalesce(F.col("loaded_at") > F.lit(cut), F.lit(False)) if cut is not None else F.lit(False)
+    return rows.where(~late), rows.where(late)
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """The groups of the component table after two batches, in the order of loading."""
     scratch = Scratch(spark)
-    groups = scratch.save(related_splits.group_records(_related(spark, d), "rec_id", ["compound", "study"], scratch))
-    several = groups.groupBy("group_id").agg(F.count("*").alias("n")).where("n > 1").select("group_id")
-    return groups.join(several, "group_id").select(F.col("group_id").alias("group_rec_id"), F.col("id").alias("rec_id"))
+    store = related_splits.ComponentTable(spark, f"{scratch.root}/components")
+    for batch in _batches(spark, d, scratch):
+        store.extend(batch, "rec_id", _KEYS, scratch=scratch)
+    groups = scratch.save(store.groups(scratch))
+    several = scratch.save(groups.groupBy("group_id").agg(F.count("*").alias("n")).where("n > 1"))
+    return join_group(groups, several, ["group_id"], "id").select(F.col("group_id").alias("group_rec_id"), F.col("id").alias("rec_id"))
 
 
 def p5_splits(spark: SparkSession, d: str) -> DataFrame:
+    """One split for each record: the whole table as the first batch of a component table."""
     scratch = Scratch(spark)
-    rows = scratch.save(_related(spark, d))
-    groups = related_splits.group_records(rows, "rec_id", ["compound", "study"], scratch)
-    records = scratch.save(groups.join(rows.select(F.col("rec_id").alias("id"), "value"), "id"))
-    splits = related_splits.assign(records, related_splits.Targets.of(table(spark, d, "split_targets")), scratch=scratch)
-    return records.join(splits, "group_id").select(F.col("id").alias("rec_id"), "split_name")
+    store = related_splits.ComponentTable(spark, f"{scratch.root}/components")
+    given = store.extend(_related(spark, d), "rec_id", _KEYS, related_splits.Targets.of(table(spark, d, "split_targets")), "value", scratch)
+    named = scratch.save(given.select(F.col("component").alias("group_id"), "split_name", F.col("n_rows").alias("n")))
+    return join_group(store.groups(scratch), named, ["group_id"], "id").select(F.col("id").alias("rec_id"), "split_name")
+
+
+def p5_increment(spark: SparkSession, d: str) -> DataFrame:
+    """What the records loaded later did to the components: kept, new and in conflict, by split."""
+    scratch = Scratch(spark)
+    store = related_splits.ComponentTable(spark, f"{scratch.root}/components")
+    targets = related_splits.Targets.of(table(spark, d, "split_targets"))
+    for batch in _batches(spark, d, scratch):
+        given = store.extend(batch, "rec_id", _KEYS, targets, "value", scratch)
+    return given.groupBy("status", "split_name").agg(F.count("*").alias("n_groups"), F.sum("n_rows").alias("n_rows"))
 
 
 def _structures(spark: SparkSession, d: str) -> DataFrame:
@@ -197,7 +223,7 @@ def p9_profile(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        p1_found, p1_collapsed, p2_found, p2_sample, p2_report, p4_found, p4_report, p5_found, p5_splits, p6_found, p6_clusters,
+        p1_found, p1_collapsed, p2_found, p2_sample, p2_report, p4_found, p4_report, p5_found, p5_splits, p5_increment, p6_found, p6_clusters,
         p7_found, p7_containers, p7_fill, p8_found, p8_spans, p9_found, p9_levels, p9_profile,
     )
 }
