@@ -21,6 +21,8 @@ from lodewright.session import Scratch
 TOKEN = r"[A-Za-z0-9_]+|[^A-Za-z0-9_ \t\r\n\f\x0B]+"
 
 MAX_CAPACITY = 1 << 20
+#: Places of recipes that may be sent to every task; more are joined.
+MAX_SLOTS = 500_000
 #: Ranks within a size are counted in shares of at most about this many documents, so that no size is one task.
 RANK_ROWS = 200_000
 
@@ -204,7 +206,8 @@ def pack(sizes: DataFrame, specs: DataFrame, scratch: Scratch | None = None, id_
     non-positive capacity get no rows. Containers are numbered from 1, those of split texts after all others.
 
     Specifications are a fixed table; capacities up to 2**20 are allowed, because the driver holds one histogram of
-    `capacity` counts for each. Ranks within a size are counted in shares, so one size may hold any part of the rows.
+    `capacity` counts for each. Every row gets a number when it is written first, and shares are cut by it, so one size
+    or one id may hold any part of the rows. Full pieces are numbered by sums over the shares.
     """
     spark = sizes.sparkSession
     scratch = scratch or Scratch(spark)
@@ -214,8 +217,11 @@ def pack(sizes: DataFrame, specs: DataFrame, scratch: Scratch | None = None, id_
     spec_list = F.array(*(F.struct(F.lit(r["spec_id"]).cast("long").alias("spec_id"), F.lit(r["capacity_tokens"]).cast("long").alias("capacity")) for r in wanted))
     if not wanted:
         spec_list = spec_list.cast("array<struct<spec_id:bigint,capacity:bigint>>")
+    items = scratch.save(
+        sizes.where("n_tokens is not null").select(F.col(id_col).alias("doc_id"), F.col("n_tokens").cast("long"), F.monotonically_increasing_id().alias("row"))
+    )
     items = (
-        sizes.where("n_tokens is not null").select(F.col(id_col).alias("doc_id"), F.col("n_tokens").cast("long"), F.inline(spec_list))
+        items.select("doc_id", "n_tokens", "row", F.inline(spec_list))
         .withColumn("full", F.when(F.col("n_tokens") > F.col("capacity"), F.floor(F.col("n_tokens") / F.col("capacity"))).otherwise(F.lit(0)))
         .withColumn("rest", F.col("n_tokens") - F.col("full") * F.col("capacity"))
     )
@@ -237,8 +243,8 @@ def pack(sizes: DataFrame, specs: DataFrame, scratch: Scratch | None = None, id_
     parts = (
         items.where("rest > 0").withColumnRenamed("rest", "size")
         .join(F.broadcast(share_table), ["spec_id", "size"])  # at most the sum of the capacities
-        .withColumn("share", F.pmod(F.xxhash64("doc_id"), F.col("shares")).cast("int"))
-        .withColumn("in_share", F.row_number().over(Window.partitionBy("spec_id", "size", "share").orderBy("doc_id")) - 1)
+        .withColumn("share", F.pmod(F.xxhash64("row"), F.col("shares")).cast("int"))
+        .withColumn("in_share", F.row_number().over(Window.partitionBy("spec_id", "size", "share").orderBy("row")) - 1)
     )
     parts = scratch.save(parts.select("spec_id", "doc_id", "size", "full", "share", "in_share"))
     offsets = (
@@ -246,22 +252,34 @@ def pack(sizes: DataFrame, specs: DataFrame, scratch: Scratch | None = None, id_
         .withColumn("before", F.sum("n").over(Window.partitionBy("spec_id", "size").orderBy("share").rowsBetween(Window.unboundedPreceding, -1)))
         .select("spec_id", "size", "share", F.coalesce("before", F.lit(0)).alias("before"))
     )
+    few = F.broadcast if sum(map(len, frames)) <= MAX_SLOTS else (lambda t: t)
     last = (
-        parts.join(offsets, ["spec_id", "size", "share"]).withColumn("rank", F.col("before") + F.col("in_share"))
-        .join(F.broadcast(slot_table), ["spec_id", "size"]).where("rank >= r0 and rank < r1")  # slots: bounded like the recipes
+        parts.join(few(offsets) if len(shares) <= MAX_SLOTS else offsets, ["spec_id", "size", "share"]).withColumn("rank", F.col("before") + F.col("in_share"))
+        .join(few(slot_table), ["spec_id", "size"]).where("rank >= r0 and rank < r1")
         .select(
             "spec_id", "doc_id", (F.col("full") + 1).alias("piece"), (F.col("full") + 1).alias("n_pieces"), F.col("size").alias("tokens"),
             (F.col("base") + F.floor((F.col("rank") - F.col("r0")) / F.col("each")) + 1).alias("container"),
         )
     )
+    # Full pieces stand in containers of their own, numbered from the last packed one on: by shares of the split rows,
+    # then within a share.
     split = items.where("full > 0").withColumn("n_pieces", F.col("full") + F.when(F.col("rest") > 0, 1).otherwise(0))
+    n_split = {r["spec_id"]: r["n"] for r in split.groupBy("spec_id").agg(F.count("*").alias("n")).collect()}
+    share_of = F.lit(1)
+    for spec, n in n_split.items():
+        share_of = F.when(F.col("spec_id") == spec, F.lit(-(-n // RANK_ROWS))).otherwise(share_of)
+    shared = split.withColumn("share", F.pmod(F.xxhash64("row"), share_of).cast("int"))
+    in_order = Window.partitionBy("spec_id", "share").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)
+    shared = scratch.save(shared.withColumn("in_share", F.coalesce(F.sum("full").over(in_order), F.lit(0))))
+    firsts_of = (
+        shared.groupBy("spec_id", "share").agg(F.sum("full").alias("n"))
+        .withColumn("before", F.coalesce(F.sum("n").over(Window.partitionBy("spec_id").orderBy("share").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+        .join(F.broadcast(first_split), "spec_id").select("spec_id", "share", (F.col("packed") + F.col("before")).alias("first"))
+    )
     whole = (
-        split.withColumn("piece", F.explode(F.sequence(F.lit(1).cast("long"), "full")))
-        .join(F.broadcast(first_split), "spec_id")
-        .select(
-            "spec_id", "doc_id", "piece", "n_pieces", F.col("capacity").alias("tokens"),
-            (F.col("packed") + 1 + F.pmod(F.xxhash64("doc_id", "piece"), F.lit(1 << 62))).alias("container"),
-        )
+        shared.join(firsts_of, ["spec_id", "share"])
+        .withColumn("piece", F.explode(F.sequence(F.lit(1).cast("long"), "full")))
+        .select("spec_id", "doc_id", "piece", "n_pieces", F.col("capacity").alias("tokens"), (F.col("first") + F.col("in_share") + F.col("piece")).alias("container"))
     )
     empty = items.where("n_tokens = 0").select(
         "spec_id", "doc_id", F.lit(1).cast("long").alias("piece"), F.lit(1).cast("long").alias("n_pieces"),

@@ -58,7 +58,8 @@ def _sampling(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFr
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    return calibrated_sample.band_plan(*_sampling(spark, d)).where("shortfall > 0").select("band_id")
+    """Bands of which the sample lacks rows."""
+    return calibrated_sample.sample_report(*_sampling(spark, d)).where("missed > 0").select("band_id")
 
 
 def p2_sample(spark: SparkSession, d: str) -> DataFrame:
@@ -67,11 +68,19 @@ def p2_sample(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_report(spark: SparkSession, d: str) -> DataFrame:
+    report = calibrated_sample.sample_report(*_sampling(spark, d))
+    return report.select("band_id", F.col("stratum").alias("endpoint"), "n_rows", "wanted", "n_drawn", "shortfall")
+
+
+def p2_crossed(spark: SparkSession, d: str) -> DataFrame:
+    """A sample whose bands and splits both have the shares wanted: by endpoint and split, its rows and their share of all."""
     rows, bands, strata = _sampling(spark, d)
-    plan = calibrated_sample.band_plan(rows, bands, strata)
-    drawn = calibrated_sample.draw(rows, bands, plan).groupBy("band_id").agg(F.count("*").alias("n_drawn"))
-    return plan.join(drawn, "band_id", "left").select(
-        "band_id", F.col("stratum").alias("endpoint"), "n_rows", "wanted", F.coalesce("n_drawn", F.lit(0)).alias("n_drawn"), "shortfall"
+    split = table(spark, d, "train_val").select(F.col("rec_id").alias("id"), F.col("endpoint").alias("stratum"), missing_to_null(F.col("y")).alias("value"), F.coalesce("split_name", F.lit("")).alias("category"))
+    plan = calibrated_sample.crossed_plan(split, bands, strata)
+    expected = plan.groupBy("stratum", "category").agg(F.sum("n_rows").alias("n_rows"), F.sum("expected").alias("expected"))
+    drawn = calibrated_sample.draw(split, bands, plan).join(split.select("id", "stratum", "category"), "id").groupBy("stratum", "category").agg(F.count("*").alias("n_drawn"))
+    return expected.join(drawn, ["stratum", "category"], "left").select(
+        F.col("stratum").alias("endpoint"), F.col("category").alias("split_name"), "n_rows", F.round("expected", 3).alias("expected"), F.coalesce("n_drawn", F.lit(0)).alias("n_drawn")
     )
 
 
@@ -223,7 +232,7 @@ def p9_profile(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        p1_found, p1_collapsed, p2_found, p2_sample, p2_report, p4_found, p4_report, p5_found, p5_splits, p5_increment, p6_found, p6_clusters,
+        p1_found, p1_collapsed, p2_found, p2_sample, p2_report, p2_crossed, p4_found, p4_report, p5_found, p5_splits, p5_increment, p6_found, p6_clusters,
         p7_found, p7_containers, p7_fill, p8_found, p8_spans, p9_found, p9_levels, p9_profile,
     )
 }
