@@ -1,6 +1,6 @@
 """DuckDB statements equivalent to the training-data queries, where SQL can say them on whole tables.
 
-p6 (closure over edit distances of all pairs) is tested against brute force on small tables instead.
+p6_clusters and what p5, p7 and p9 choose freely are tested against brute force or by invariants instead.
 """
 
 from __future__ import annotations
@@ -31,6 +31,8 @@ _TOKENS = r"len(regexp_extract_all(text, '[A-Za-z0-9_]+|[^A-Za-z0-9_ \t\r\n\f\v]
 #: A text at most 3 edits away contains one of four parts somewhere; the parts only spare the distances of other pairs.
 _PARTS = " OR ".join(f"contains(ts.s, substr(es.s, 1 + {i} * len(es.s) // 4, {i + 1} * len(es.s) // 4 - {i} * len(es.s) // 4))" for i in range(4))
 
+#: The same for 8 edits: one of nine parts.
+_NINTHS = " OR ".join(f"contains(b.s, substr(a.s, 1 + {i} * len(a.s) // 9, {i + 1} * len(a.s) // 9 - {i} * len(a.s) // 9))" for i in range(9))
 _LINKED = f"""WITH t AS (SELECT rec_id, {clean("drug")} AS s FROM train_val WHERE split_name = 'train'),
 e AS (SELECT rec_id, {clean("drug")} AS s, 'valid' AS part, source FROM train_val WHERE split_name = 'valid'
   UNION ALL SELECT rec_id, {clean("drug")}, 'test_set', source FROM test_set UNION ALL SELECT rec_id, {clean("smiles")}, 'testcase', source FROM testcase),
@@ -54,6 +56,14 @@ e AS (SELECT DISTINCT rec_id AS a, head AS b FROM n JOIN h USING (k) WHERE rec_i
 cc(id, root) USING KEY (id) AS (SELECT rec_id, rec_id FROM train_val
   UNION SELECT g.a, min(cc.root) FROM cc JOIN g ON g.b = cc.id JOIN recurring.cc AS r ON r.id = g.a WHERE cc.root < r.root GROUP BY g.a)
 SELECT root AS group_rec_id, id AS rec_id FROM cc WHERE root IN (SELECT root FROM cc GROUP BY root HAVING count(*) > 1)""",
+    "p6_found": f"""WITH RECURSIVE n AS (SELECT rec_id, {clean("drug")} AS s FROM train_val UNION ALL SELECT rec_id, {clean("smiles")} FROM testcase),
+t AS (SELECT s, min(rec_id) AS id FROM n WHERE s IS NOT NULL GROUP BY s),
+h AS (SELECT a.id AS a, b.id AS b FROM t a JOIN t b ON a.id < b.id AND abs(len(a.s) - len(b.s)) <= 8 AND ({_NINTHS}) WHERE levenshtein(a.s, b.s) <= 8),
+g AS (SELECT a, b FROM h UNION ALL SELECT b, a FROM h),
+cc(id, root) USING KEY (id) AS (SELECT id, id FROM t
+  UNION SELECT g.a, min(cc.root) FROM cc JOIN g ON g.b = cc.id JOIN recurring.cc AS r ON r.id = g.a WHERE cc.root < r.root GROUP BY g.a),
+m AS (SELECT root, rec_id FROM n JOIN t USING (s) JOIN cc ON cc.id = t.id)
+SELECT root AS cluster_rec_id, rec_id FROM m WHERE root IN (SELECT root FROM m GROUP BY root HAVING count(*) > 1)""",
     "p7_found": f"SELECT spec_id, doc_id FROM documents, container_specs WHERE {_TOKENS} > capacity_tokens",
     "p8_found": r"""WITH w AS (SELECT item_id, regexp_extract_all(lower(item_text), '[a-z0-9]+') AS ws FROM eval_items),
 r AS (SELECT DISTINCT item_id, array_to_string(ws[i:i + 11], ' ') AS run FROM w, unnest(range(1, len(ws) - 10)) t(i)),

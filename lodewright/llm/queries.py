@@ -229,10 +229,16 @@ def p9_profile(spark: SparkSession, d: str) -> DataFrame:
     return _levels(spark, d).groupBy("lang", band.alias("band")).agg(F.count("*").alias("n_documents"), F.round(F.avg("level"), 4).alias("mean_level"))
 
 
+def p9_quality(spark: SparkSession, d: str) -> DataFrame:
+    """How well levels agree with grades that were kept back."""
+    out = reading_level.held_out(table(spark, d, "documents").select("doc_id", "lang", "text"), table(spark, d, "level_labels"))
+    return out.select("n", *(F.round(c, 4).alias(c) for c in ("error", "error_of_mean", "correlation")))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         p1_found, p1_collapsed, p2_found, p2_sample, p2_report, p2_crossed, p4_found, p4_report, p5_found, p5_splits, p5_increment, p6_found, p6_clusters,
-        p7_found, p7_containers, p7_fill, p8_found, p8_spans, p9_found, p9_levels, p9_profile,
+        p7_found, p7_containers, p7_fill, p8_found, p8_spans, p9_found, p9_levels, p9_profile, p9_quality,
     )
 }

@@ -85,6 +85,14 @@ def test_hash_collisions_are_told_apart(spark, monkeypatch):
     assert got == {(1, 1), (1, 3), (2, 2), (2, 4)}
 
 
+def test_hot_group_is_split(spark):
+    rows = [(i, "CC.N" if i % 2 else f"C{'c' * (i % 50)}", 1.0, "") for i in range(400)]
+    df = _records(spark, rows)
+    want = {(r["first_id"], r["id"]) for r in format_duplicates.collapse(df, "id", "pairs").collect()}
+    out = format_duplicates.collapse(df, "id", "pairs", hot_rows=20)
+    assert {(r["first_id"], r["id"]) for r in out.collect()} == want and len(want) == 400
+
+
 # ---- p2
 
 
@@ -130,6 +138,24 @@ def test_sample(spark):
     assert calibrated_sample.draw(none, bands, calibrated_sample.band_plan(none, bands, strata)).count() == 0
 
 
+def test_crossed_sample_meets_both_sets_of_shares(spark):
+    rows = [(i, "e", float(i % 4), None if i % 9 == 0 else "ab"[i % 3 == 0]) for i in range(4000)]
+    df = spark.createDataFrame(rows, "id long, stratum string, value double, category string")
+    bands = spark.createDataFrame([(1, "e", 0.0, 1.0, 60, 0), (2, "e", 1.0, 4.0, 40, 0)], "band_id long, stratum string, low double, below double, target_pct long, min_rows long")
+    strata = spark.createDataFrame([("e", 20)], "stratum string, sample_pct long")
+    plan = calibrated_sample.crossed_plan(df, bands, strata)
+    by = lambda c: {r[0]: r[1] for r in plan.groupBy(c).agg(F.sum("expected")).collect()}
+    assert by("band_id") == pytest.approx({1: 480, 2: 320}, abs=1e-3)
+    share = Counter(c or "" for _, _, _, c in rows)
+    assert by("category") == pytest.approx({c: 800 * n / 4000 for c, n in share.items()}, abs=1e-3)
+    drawn = calibrated_sample.draw(df, bands, plan).collect()
+    assert len({r["id"] for r in drawn}) == len(drawn) and abs(len(drawn) - 800) <= 6
+    got = Counter(rows[r["id"]][3] or "" for r in drawn)
+    assert all(abs(got[c] - 800 * n / 4000) <= 3 for c, n in share.items())
+    report = {r["band_id"]: r for r in calibrated_sample.sample_report(df.drop("category"), bands, strata).collect()}
+    assert {b: (r["n_drawn"], r["missed"]) for b, r in report.items()} == {1: (480, 0), 2: (320, 0)}
+
+
 # ---- p4
 
 
@@ -160,6 +186,19 @@ def test_cross_split(spark, low, high):
     assert cross_split.cross_split_pairs(make(train).limit(0), make(evals)).count() == 0
 
 
+def test_overlap_counts_and_large_classes(spark, monkeypatch):
+    monkeypatch.setattr(cross_split, "PART_ROWS", 3)
+    texts = _texts(9, 40, 10, 20, 3)
+    train = [(i, texts[i % 20]) for i in range(60)] + [(900, None)]
+    evals = [(1000 + i, texts[20 + i % 10], "p") for i in range(30)] + [(1900, None, "p"), (1901, "", "p")]
+    t, e = spark.createDataFrame(train, "id long, text string"), spark.createDataFrame(evals, "id long, text string, part string")
+    want = Counter((i, j) for i, s in train for j, x, _ in evals if s and x and edit_distance(s, x) <= 3)
+    got = Counter((r["train_id"], r["eval_id"]) for r in cross_split.cross_split_pairs(t, e).collect())
+    assert got == want and want
+    counts = {r["id"]: r["n_pairs"] for r in cross_split.overlap_counts(t, e).collect()}
+    assert counts == Counter(j for _, j in want.elements())
+
+
 def test_signatures_never_exceed_their_bounds(spark):
     rng = np.random.default_rng(2)
     pairs = [(s, _mutated(rng, s, 6)) for s in ["".join(rng.choice(list("cn(=)[1s"), 60)) for _ in range(200)]]
@@ -197,6 +236,40 @@ def test_groups(spark):
     assert got == closed([r[0] for r in rows], links)
 
 
+def test_component_table_grows_by_batches(spark, tmp_path):
+    rows, df = _related(spark, 240)
+    store = related_splits.ComponentTable(spark, str(tmp_path / "table"))
+    targets = related_splits.Targets(("train", "valid"), (0.7, 0.3))
+    assert store.groups().count() == 0
+    given = []
+    for low, high in ((0, 120), (120, 120), (120, 200), (200, 240)):
+        part = df.where(f"rec_id >= {low} and rec_id < {high}")
+        given.append({r["component"]: r for r in store.extend(part, "rec_id", ["k0", "study"], targets, "value").collect()})
+        seen = [r for r in rows if r[0] < high]
+        links = [(a[0], b[0]) for a, b in itertools.combinations(seen, 2) if (a[1] and a[1] == b[1]) or (a[2] and a[2] == b[2])]
+        assert {r["id"]: r["group_id"] for r in store.groups().collect()} == closed([r[0] for r in seen], links)
+    assert given[1] == {} and {r["status"] for r in given[0].values()} == {"new"}
+    state = {r["component"]: r for r in store.components().collect()}
+    groups = closed([r[0] for r in rows], [(a[0], b[0]) for a, b in itertools.combinations(rows, 2) if (a[1] and a[1] == b[1]) or (a[2] and a[2] == b[2])])
+    size = Counter(groups.values())
+    assert {c: r["n_rows"] for c, r in state.items()} == size
+
+
+def test_component_table_keeps_and_quarantines(spark, tmp_path):
+    store = related_splits.ComponentTable(spark, str(tmp_path / "table"))
+    targets = related_splits.Targets(("train", "valid"), (0.5, 0.5))
+    first = spark.createDataFrame([(i, f"c{i}", None) for i in range(40)], "rec_id long, c string, s string")
+    splits = {r["component"]: r["split_name"] for r in store.extend(first, "rec_id", ["c", "s"], targets).collect()}
+    t = sorted(i for i, s in splits.items() if s == "train")
+    v = sorted(i for i, s in splits.items() if s == "valid")
+    assert t and v
+    second = [(100, f"c{t[0]}", "x"), (101, f"c{t[1]}", "x"), (102, f"c{t[2]}", "y"), (103, f"c{v[0]}", "y"), (104, "new", None), (105, None, None), (-5, f"c{v[1]}", None)]
+    got = {r["component"]: (r["n_rows"], r["split_name"], r["status"]) for r in store.extend(spark.createDataFrame(second, "rec_id long, c string, s string"), "rec_id", ["c", "s"], targets).collect()}
+    assert got[min(t[0], t[1])] == (4, "train", "kept") and got[min(t[2], v[0])] == (4, "quarantine", "conflict")
+    assert got[-5] == (2, "valid", "kept") and got[104][2] == got[105][2] == "new" and len(got) == 5
+    assert {r["id"] for r in store.groups().where("group_id = -5").collect()} == {-5, v[1]}
+
+
 def test_assignment_and_increment(spark):
     rows = [(i, i // 3, float(i % 7) if i % 11 else None) for i in range(6000)]
     records = spark.createDataFrame(rows, "id long, group_id long, value double")
@@ -283,3 +356,44 @@ def test_density_clusters(spark):
     assert all(len(bases_) == 1 for bases_ in by.values()) and {b for s in by.values() for b in s} == {0, 1, 2}
     for r in summary.collect():
         assert 1 <= len(r["exemplar_ids"]) <= 3 and r["n_texts"] >= 2 and r["n_rows"] >= r["n_texts"] and r["stability"] > 0
+
+
+def _hierarchy_by_hand(texts, k, need, least):
+    """Members of the selected clusters, over whole-number levels, by brute force."""
+    n = len(texts)
+    d = {(i, j): edit_distance(texts[i], texts[j]) for i, j in itertools.combinations(range(n), 2)}
+    core = {}
+    for i in range(n):
+        near = sorted(x for (a, b), x in d.items() if i in (a, b) and x <= k)
+        core[i] = near[need - 2] if len(near) >= need - 1 else k + 1
+    w = {(i, j): max(x, core[i], core[j]) for (i, j), x in d.items() if x <= k}
+    parts = {level: closed(range(n), [e for e, x in w.items() if x <= level]) for level in range(k + 2)}
+    big = {level: {r: frozenset(i for i in range(n) if parts[level][i] == r) for r in set(parts[level].values())} for level in parts}
+    big = {level: {r: m for r, m in ms.items() if len(m) >= least} for level, ms in big.items()}
+
+    def best(level, r):
+        """(stability, selected) of the cluster that begins with this part."""
+        total, own = 0.0, big[level][r]
+        while True:
+            total += len(big[level][r]) * (1 / level - 1 / (level + 1))
+            below = [x for x in big[level - 1] if big[level - 1][x] <= big[level][r]] if level > 1 else []
+            if len(below) != 1:
+                break
+            level, r = level - 1, below[0]
+        parts_ = [best(level - 1, x) for x in below]
+        inner = sum(x for x, _ in parts_)
+        return (total, [own]) if total >= inner else (inner, [m for _, ms in parts_ for m in ms])
+
+    return {m for r in big[k + 1] for m in best(k + 1, r)[1]}
+
+
+def test_density_clusters_by_hand(spark):
+    for seed in (1, 2):
+        texts = sorted(set(_texts(20 + seed, 70, 20, 30, 4)))
+        want = _hierarchy_by_hand(texts, 3, 4, 3)
+        df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+        _, members = density_clusters.density_clusters(df, density_clusters.Settings(k=3, gram=5, window=2, min_samples=4, min_size=3))
+        by = defaultdict(set)
+        for r in members.collect():
+            by[r["cluster_id"]].add(r["id"])
+        assert {frozenset(m) for m in by.values()} == want and want

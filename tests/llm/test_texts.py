@@ -79,6 +79,19 @@ def test_pack(spark, monkeypatch):
     assert packing.pack(df.limit(0), specs).count() == 0
 
 
+def test_pack_with_repeated_ids(spark, monkeypatch):
+    monkeypatch.setattr(packing, "RANK_ROWS", 3)
+    rows = [(1, 25), (1, 25), (1, 20), (2, 9), (2, 9), *[(7, 31)] * 20]
+    df = spark.createDataFrame(rows, "doc_id long, n_tokens int")
+    out = packing.pack(df, spark.createDataFrame([(1, 10)], "spec_id long, capacity_tokens long")).collect()
+    fill = defaultdict(int)
+    for r in out:
+        fill[r["container"]] += r["tokens"]
+    assert max(fill.values()) <= 10 and sum(fill.values()) == sum(n for _, n in rows)
+    assert sum(r["tokens"] == 10 and r["n_pieces"] > 1 for r in out) == 2 + 2 + 2 + 60
+    assert set(fill) == set(range(1, len(fill) + 1))
+
+
 # ---- p8
 
 
@@ -137,6 +150,8 @@ def test_levels_on_held_out_grades(spark):
     held = [d for d in range(60, 400)]
     assert np.corrcoef([truth[d] for d in held], [out[d]["level"] for d in held])[0, 1] > 0.9
     assert len(out) == 403 and out[900]["level"] == out[901]["level"] == out[902]["level"] is not None
+    kept = reading_level.held_out(frame, spark.createDataFrame([(d, int(round(truth[d]))) for d in range(200)], "doc_id long, level_no int")).first()
+    assert kept["n"] > 20 and kept["error"] < 0.7 * kept["error_of_mean"] and kept["correlation"] > 0.8
     assert out[5]["grade"] is not None and out[100]["grade"] is None
     bare = reading_level.reading_levels(frame, spark.createDataFrame([], "doc_id long, level_no int"))
     assert bare.count() == 403 and bare.where("level is not null").count() == 0
