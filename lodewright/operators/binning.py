@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lodewright.operators.outliers import outlier_counts
 from lodewright.operators.profile import Roles, collect_stats, missing_as_null
+from lodewright.operators.running import quantile_row
 
 
 def bin_of(x: Column, edges: Sequence[float]) -> Column:
@@ -23,9 +24,8 @@ def bin_edges(df: DataFrame, cols: Sequence[str], n_bins: int = 3, strategy: str
         return {}
     stats = collect_stats(df, cols)
     if strategy == "quantile":
-        marks = F.array(*(F.lit(i / n_bins) for i in range(n_bins + 1)))
-        row = df.agg(*(F.percentile(F.col(c).cast("double"), marks).alias(c) for c in cols)).first()
-        edges = {c: list(row[c] or []) for c in cols}
+        found = quantile_row(df, {c: F.col(c) for c in cols}, [i / n_bins for i in range(n_bins + 1)])
+        edges = {c: found.get(c, []) for c in cols}
         return {c: [e for i, e in enumerate(v) if i == 0 or e - v[i - 1] > 1e-8] for c, v in edges.items()}
     even = {c: [stats[c]["low"] + (stats[c]["high"] - stats[c]["low"]) * i / n_bins for i in range(n_bins + 1)] for c in cols}
     if strategy == "uniform":

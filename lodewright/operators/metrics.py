@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodewright.operators.running import exact_quantiles, running_sums
+from lodewright.session import Scratch
+
 
 def _ratio(a: Column, b: Column) -> Column:
     return F.when(b != 0, a / b).otherwise(F.lit(0.0))
@@ -37,22 +40,27 @@ def probability_metrics(df: DataFrame, by: Sequence[str], y: str, p: str, eps: f
 def curve_points(df: DataFrame, by: Sequence[str], y: str, p: str) -> DataFrame:
     """(*by, `score`, `tp`, `fp`, `positives`, `negatives`): cumulative counts by falling score, ties together.
 
-    Scores are counted first, so the window runs over distinct scores.
+    Scores are counted first and summed in ranges of scores, so no task holds all scores of a group.
     """
-    steps = df.groupBy(*by, F.col(p).alias("score")).agg(F.sum(F.when(F.col(y) == 1, 1).otherwise(0)).alias("pos"), F.sum(F.when(F.col(y) == 1, 0).otherwise(1)).alias("neg"))
-    w = Window.partitionBy(*by).orderBy(F.col("score").desc())
-    every = Window.partitionBy(*by)
-    return steps.select(*by, "score", F.sum("pos").over(w).alias("tp"), F.sum("neg").over(w).alias("fp"), "pos", "neg", F.sum("pos").over(every).alias("positives"), F.sum("neg").over(every).alias("negatives"))
+    scratch = Scratch(df.sparkSession)
+    steps = scratch.save(df.groupBy(*by, F.col(p).alias("score")).agg(F.sum(F.when(F.col(y) == 1, 1).otherwise(0)).alias("pos"), F.sum(F.when(F.col(y) == 1, 0).otherwise(1)).alias("neg")))
+    sums = running_sums(steps, by, [F.struct(F.col("score").isNull(), -F.col("score"))], {"tp": "pos", "fp": "neg"}, scratch)
+    total = steps.groupBy(*by).agg(F.sum("pos").alias("positives"), F.sum("neg").alias("negatives"))
+    if not by:
+        return sums.join(F.broadcast(total)).select("score", "tp", "fp", "pos", "neg", "positives", "negatives")  # one row
+    match = [F.col(b).eqNullSafe(F.col(f"__{b}")) for b in by]
+    total = total.select(*(F.col(b).alias(f"__{b}") for b in by), "positives", "negatives")
+    return sums.join(total, match).select(*by, "score", "tp", "fp", "pos", "neg", "positives", "negatives")
 
 
 def ranking_metrics(df: DataFrame, by: Sequence[str], y: str, p: str) -> DataFrame:
     """roc_auc (ties count half) and average_precision; null where a class is absent."""
     c = curve_points(df, by, y, p)
     pairs = F.sum(F.col("pos") * (F.col("negatives") - F.col("fp") + F.col("neg") / 2))
-    ap = F.sum(F.col("pos") / F.col("positives") * F.col("tp") / (F.col("tp") + F.col("fp")))
+    ap = F.sum(F.try_divide(F.col("pos") * F.col("tp"), F.col("positives") * (F.col("tp") + F.col("fp"))))
     both = (F.max("positives") > 0) & (F.max("negatives") > 0)
-    return c.groupBy(*by).agg(F.when(both, pairs / (F.max("positives") * F.max("negatives"))).alias("roc_auc"), F.when(F.max("positives") > 0, F.try_divide(ap, F.lit(1.0))).alias("average_precision")) if by else c.agg(
-        F.when(both, pairs / (F.max("positives") * F.max("negatives"))).alias("roc_auc"), F.when(F.max("positives") > 0, ap).alias("average_precision")
+    return c.groupBy(*by).agg(
+        F.when(both, F.try_divide(pairs, F.max("positives") * F.max("negatives"))).alias("roc_auc"), F.when(F.max("positives") > 0, ap).alias("average_precision")
     )
 
 
@@ -60,10 +68,13 @@ def regression_metrics(df: DataFrame, by: Sequence[str], y: str, predicted: str,
     """r2, mse, rmse, mae, median_ae, mape and max_error (positive)."""
     e = F.col(predicted) - F.col(y)
     a = F.abs(e)
-    return df.groupBy(*by).agg(
+    out = df.groupBy(*by).agg(
         F.when(F.var_pop(y) > 0, 1 - F.avg(e * e) / F.var_pop(y)).alias("r2"), F.avg(e * e).alias("mse"), F.sqrt(F.avg(e * e)).alias("rmse"),
-        F.avg(a).alias("mae"), F.percentile(a, F.lit(0.5)).alias("median_ae"), F.avg(a / F.greatest(F.abs(y), F.lit(eps))).alias("mape"), F.max(a).alias("max_error"),
+        F.avg(a).alias("mae"), F.avg(a / F.greatest(F.abs(y), F.lit(eps))).alias("mape"), F.max(a).alias("max_error"),
     )
+    middle = exact_quantiles(df.select(*by, a.alias("x")), by, [0.5]).select(*(F.col(b).alias(f"__{b}") for b in by), F.col("q")[0].alias("median_ae"))
+    joined = out.join(middle, [F.col(b).eqNullSafe(F.col(f"__{b}")) for b in by], "left") if by else out.join(F.broadcast(middle), how="left")  # one row
+    return joined.select(*by, "r2", "mse", "rmse", "mae", "median_ae", "mape", "max_error")
 
 
 def plain_name(name: Column) -> Column:

@@ -15,6 +15,8 @@ from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, LinearReg
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodewright.functions import kernels
+from lodewright.operators import boosting
 from lodewright.operators.neighbours import vote
 
 
@@ -134,17 +136,6 @@ def _boosted(df: DataFrame, cols: list[str], y: str, classification: bool, round
     return Fitted("AdaBoost", cols, classification, score, trees, weights)
 
 
-#: Rows a kernel machine, perceptron regressor or extra tree is fitted on at most, by order of a hash.
-SAMPLE_ROWS = 4000
-
-
-def _bounded(df: DataFrame, cols: list[str], y: str) -> tuple[np.ndarray, np.ndarray]:
-    """At most SAMPLE_ROWS rows as arrays: these models are fitted on a documented, bounded sample."""
-    rows = df.select(*(F.col(c).cast("double") for c in cols), F.col(y).cast("double").alias("__y"))
-    part = rows.orderBy(F.xxhash64(*cols, "__y")).limit(SAMPLE_ROWS).toPandas()
-    return part[list(cols)].to_numpy(float), part["__y"].to_numpy(float)
-
-
 def _numpy(name: str, cols: list[str], classification: bool, predict: Callable[[np.ndarray], np.ndarray], weights: dict | None = None) -> Fitted:
     """A model that scores rows in Arrow batches."""
 
@@ -161,107 +152,92 @@ def _numpy(name: str, cols: list[str], classification: bool, predict: Callable[[
     return Fitted(name, cols, classification, score, predict, weights or {})
 
 
-def _kernel_machine(df: DataFrame, cols: list[str], y: str, classification: bool, c: float = 1.0, epsilon: float = 0.1, rounds: int = 300) -> Fitted:
-    """Radial-basis machine by coordinate ascent on the dual without offset constraint (the kernel carries a constant)."""
-    x, t = _bounded(df, cols, y)
-    gamma = 1.0 / max(x.shape[1] * x.var(), 1e-12)
-    sq = (x**2).sum(1)
-    k = np.exp(-gamma * np.maximum(sq[:, None] + sq - 2 * x @ x.T, 0)) + 1.0
-    shift = 0.0 if classification else t.mean()
-    target = np.where(t > 0.5, 1.0, -1.0) if classification else t - shift
-    a, f = np.zeros(len(t)), np.zeros(len(t))
-    for _ in range(rounds):
-        moved = 0.0
-        for i in range(len(t)):
-            if classification:
-                new = np.clip(a[i] * target[i] + (1 - target[i] * f[i]) / k[i, i], 0, c) * target[i]
-            else:
-                step = a[i] + (target[i] - f[i]) / k[i, i]
-                new = np.clip(np.sign(step) * max(abs(step) - epsilon / k[i, i], 0), -c, c)
-            if (d := new - a[i]) != 0:
-                f += d * k[i]
-                a[i], moved = new, max(moved, abs(d))
-        if moved < 1e-3:
-            break
-    at = np.flatnonzero(a)
-    base, coef = x[at], a[at]
-    slope = 1.0
-    if classification:  # logistic slope of the margin
-        for _ in range(50):
-            p = 1 / (1 + np.exp(-np.clip(slope * f, -30, 30)))
-            step = np.sum(f * ((target > 0) - p)) / max(np.sum(f * f * p * (1 - p)), 1e-9)
-            slope = float(np.clip(slope + np.clip(step, -1, 1), 0.1, 20))
-
-    def predict(v: np.ndarray) -> np.ndarray:
-        d2 = (v**2).sum(1)[:, None] + (base**2).sum(1) - 2 * v @ base.T
-        m = (np.exp(-gamma * np.maximum(d2, 0)) + 1.0) @ coef
-        return 1 / (1 + np.exp(-np.clip(slope * m, -30, 30))) if classification else m + shift
-
-    return _numpy("SVM", cols, classification, predict)
-
-
-def _perceptron(df: DataFrame, cols: list[str], y: str, hidden: int = 150, alpha: float = 0.01, rounds: int = 400) -> Fitted:
-    """One hidden layer of rectifiers for numbers, fitted by Adam on standardised inputs."""
-    x, t = _bounded(df, cols, y)
-    mx, sx, mt, st = x.mean(0), x.std(0) + 1e-9, t.mean(), t.std() + 1e-9
-    x, t = (x - mx) / sx, (t - mt) / st
-    rng = np.random.default_rng(42)
-    w = [rng.normal(0, np.sqrt(2 / max(1, x.shape[1])), (x.shape[1], hidden)), np.zeros(hidden), rng.normal(0, np.sqrt(1 / hidden), hidden), np.zeros(1)]
-    m, v = [np.zeros_like(p) for p in w], [np.zeros_like(p) for p in w]
-    for i in range(1, rounds + 1):
-        h = np.maximum(x @ w[0] + w[1], 0)
-        e = (h @ w[2] + w[3] - t) / len(t)
-        dh = np.outer(e, w[2]) * (h > 0)
-        grads = [x.T @ dh + alpha / len(t) * w[0], dh.sum(0), h.T @ e + alpha / len(t) * w[2], np.array([e.sum()])]
-        for j, g in enumerate(grads):
-            m[j], v[j] = 0.9 * m[j] + 0.1 * g, 0.999 * v[j] + 0.001 * g * g
-            w[j] = w[j] - 0.01 * (m[j] / (1 - 0.9**i)) / (np.sqrt(v[j] / (1 - 0.999**i)) + 1e-8)
-
-    def predict(q: np.ndarray) -> np.ndarray:
-        return (np.maximum(((q - mx) / sx) @ w[0] + w[1], 0) @ w[2] + w[3]) * st + mt
-
-    return _numpy("MLP", cols, False, predict)
-
-
-def _extra_tree(x: np.ndarray, t: np.ndarray, rng: np.random.Generator, width: int, gains: np.ndarray):
-    if len(t) < 2 or t.min() == t.max():
-        return float(t.mean())
-    best = None
-    for f in rng.permutation(x.shape[1])[: width]:
-        lo, hi = x[:, f].min(), x[:, f].max()
-        if lo < hi:
-            cut = rng.uniform(lo, hi)
-            below = x[:, f] < cut
-            if 0 < below.sum() < len(t):
-                gain = t.var() * len(t) - t[below].var() * below.sum() - t[~below].var() * (~below).sum()
-                if best is None or gain > best[0]:
-                    best = gain, f, cut, below
-    if best is None:
-        return float(t.mean())
-    gains[best[1]] += best[0]
-    return best[1], best[2], _extra_tree(x[best[3]], t[best[3]], rng, width, gains), _extra_tree(x[~best[3]], t[~best[3]], rng, width, gains)
-
-
-def _leaf(tree, x: np.ndarray) -> np.ndarray:
-    if isinstance(tree, float):
-        return np.full(len(x), tree)
-    out, below = np.empty(len(x)), x[:, tree[0]] < tree[1]
-    out[below], out[~below] = _leaf(tree[2], x[below]), _leaf(tree[3], x[~below])
-    return out
-
-
-def _extra_trees(df: DataFrame, cols: list[str], y: str, classification: bool, trees: int = 100) -> Fitted:
-    """Trees with random cuts on whole samples."""
-    x, t = _bounded(df, cols, y)
-    gains, width = np.zeros(len(cols)), max(1, int(np.sqrt(len(cols)))) if classification else len(cols)
-    grown = [_extra_tree(x, t, np.random.default_rng(42 + i), width, gains) for i in range(trees)]
-    total = gains.sum() or 1.0
-    return _numpy("ExtraTrees", cols, classification, lambda v: np.mean([_leaf(g, v) for g in grown], axis=0), {c: float(g / total) for c, g in zip(cols, gains, strict=True)})
+def _kernel_machine(df: DataFrame, cols: list[str], y: str, classification: bool, c: float = 1.0, epsilon: float = 0.1, gamma: float | None = None) -> Fitted:
+    """Radial-basis machine over random features, on all rows."""
+    if not classification:
+        machine = kernels.support_regressor(df, cols, y, c, epsilon, gamma)
+        return _numpy("SVM", cols, False, machine.margins)
+    machine, slope, offset = kernels.support_classifier(df, cols, y, c, gamma)
+    return _numpy("SVM", cols, True, lambda x: 1 / (1 + np.exp(-np.clip(slope * machine.margins(x) + offset, -30, 30))))
+
+
+def _second_order(name: str, df: DataFrame, cols: list[str], y: str, classification: bool, **params) -> Fitted:
+    """`XGB`: depth-wise trees, rate 0.3; `CatBoost`: symmetric trees, rate 0.1 and stronger shrinkage of leaves."""
+    settings = {"XGB": {"rate": 0.3, "depth": 6, "l2": 1.0}, "CatBoost": {"rate": 0.1, "depth": 6, "l2": 3.0, "symmetric": True}}[name] | params
+    model = boosting.boost(df, cols, y, classification, **settings)
+    total = float(model.gains.sum()) or 1.0
+    return _numpy(name, cols, classification, model.predict, {c: float(g) / total for c, g in zip(cols, model.gains, strict=True)})
+
+
+def _extra_trees(df: DataFrame, cols: list[str], y: str, classification: bool, trees: int = 100, groups: int = 10, cuts: int = 10, maxDepth: int = 20) -> Fitted:
+    """Trees on all rows without resampling whose cuts are random: each group of trees knows `cuts` random places in
+    the range of every feature and chooses among those only."""
+    from pyspark.ml.feature import Bucketizer
+
+    low_high = df.agg(*(f(F.col(c).cast("double")) for c in cols for f in (F.min, F.max))).first()
+    groups, parts = min(groups, trees), []
+    for g in range(groups):
+        rng = np.random.default_rng(42 + g)
+        places = []
+        for i in range(len(cols)):
+            low, high = low_high[2 * i] or 0.0, low_high[2 * i + 1] or 0.0
+            inner = np.unique(rng.uniform(low, high, cuts)) if high > low else np.array([low + 0.5])
+            places.append([-float("inf"), *map(float, inner), float("inf")])
+        cutter = Bucketizer(splitsArray=places, inputCols=[f"__f{i}" for i in range(len(cols))], outputCols=[f"__b{i}" for i in range(len(cols))])
+        inner = [f"__b{i}" for i in range(len(cols))]
+        prepared = lambda t, cutter=cutter: cutter.transform(t.withColumns({f"__f{i}": F.col(c).cast("double") for i, c in enumerate(cols)}))
+        n = trees // groups + (g < trees % groups)
+        settings = dict(numTrees=n, maxDepth=maxDepth, bootstrap=False, seed=42 + g, maxBins=max(32, cuts + 2), featureSubsetStrategy="sqrt" if classification else "all")
+        maker = RandomForestClassifier if classification else RandomForestRegressor
+        model = maker(**settings).setFeaturesCol("__x").setLabelCol("__y").fit(_assembled(prepared(df), inner).withColumn("__y", F.col(y).cast("double")))
+        parts.append((n, prepared, inner, model))
+
+    def score(rows: DataFrame) -> DataFrame:
+        out, names = rows, []
+        for g, (_, prepared, inner, model) in enumerate(parts):
+            scored = model.transform(_assembled(prepared(out), inner))
+            value = vector_to_array("probability")[1] if classification else F.col("prediction")
+            out = scored.select(*rows.columns, *names, value.alias(f"__g{g}"))
+            names.append(f"__g{g}")
+        mean = sum((F.col(f"__g{g}") * F.lit(n / trees) for g, (n, *_) in enumerate(parts)), F.lit(0.0))
+        if not classification:
+            return out.select(*rows.columns, mean.alias("predicted"))
+        return out.select(*rows.columns, F.when(mean > 0.5, 1.0).otherwise(0.0).alias("predicted"), mean.alias("probability"))
+
+    weights = np.sum([n / trees * model.featureImportances.toArray() for n, _, _, model in parts], axis=0)
+    return Fitted("ExtraTrees", cols, classification, score, None, dict(zip(cols, map(float, weights), strict=True)))
+
+
+def path_cv(name: str, df: DataFrame, cols: list[str], y: str, elastic: float, n_alphas: int = 20, folds: int = 5, eps: float = 1e-3, id_cols: Sequence[str] | None = None) -> Fitted:
+    """Linear model with the penalty of least mean squared error over `folds` folds, from a path of penalties that falls
+    from the least one that empties the model to `eps` times it."""
+    from lodewright.session import Scratch
+
+    scratch = Scratch(df.sparkSession)
+    fold = F.pmod(F.xxhash64(F.lit(42), *(id_cols or [*cols, y])), F.lit(folds))
+    rows = scratch.save(df.select(*cols, F.col(y).cast("double").alias(y), fold.alias("__fold")))
+    center = rows.agg(*(F.covar_pop(F.col(c).cast("double"), y) for c in cols)).first()
+    top = max((abs(v or 0.0) for v in center), default=0.0) / max(elastic, 1e-3) or 1.0
+    path = top * np.logspace(0, np.log10(eps), n_alphas)
+    errors = np.zeros(n_alphas)
+    for k in range(folds):
+        train, test = _assembled(rows.where(F.col("__fold") != k), cols), _assembled(rows.where(F.col("__fold") == k), cols)
+        if train.isEmpty() or test.isEmpty():
+            continue
+        names = []
+        for i, alpha in enumerate(path):
+            model = LinearRegression(featuresCol="__x", labelCol=y, regParam=float(alpha), elasticNetParam=elastic, standardization=False, maxIter=200, tol=1e-7).fit(train)
+            coef, offset = model.coefficients.toArray(), float(model.intercept)
+            names.append((sum((F.lit(float(w)) * F.col(c) for w, c in zip(coef, cols, strict=True)), F.lit(offset)) - F.col(y)).alias(f"e{i}"))
+        row = test.select(*names).agg(*(F.sum(F.col(f"e{i}") * F.col(f"e{i}")) for i in range(n_alphas))).first()
+        errors += np.array([v or 0.0 for v in row])
+    best = float(path[int(np.argmin(errors))])
+    return _spark(name, LinearRegression(regParam=best, elasticNetParam=elastic, standardization=False), df, cols, y, False)
 
 
 #: Names of models for classes and for numbers.
 CLASSIFIERS = ("Dummy", "Logistic", "KNeighbors", "SVM", "RandomForest", "ExtraTrees", "AdaBoost", "GradientBoosting", "XGB", "CatBoost", "MLP")
-REGRESSORS = ("Dummy", "Linear", "KNeighbors", "SVM", "RandomForest", "ExtraTrees", "AdaBoost", "GradientBoosting", "XGB", "CatBoost", "MLP", "Ridge", "ElasticNet", "Lasso")
+REGRESSORS = ("Dummy", "Linear", "KNeighbors", "SVM", "RandomForest", "ExtraTrees", "AdaBoost", "GradientBoosting", "XGB", "CatBoost", "MLP", "Ridge", "ElasticNetCV", "ElasticNet", "Lasso", "LassoCV")
 REGISTRY: dict[str, Callable] = {}
 
 
@@ -271,7 +247,7 @@ def add_model(name: str, fit: Callable[[DataFrame, list[str], str, bool], Fitted
 
 
 def fit_model(name: str, df: DataFrame, cols: Sequence[str], y: str, classification: bool, **params) -> Fitted:
-    """Fit a model by name. `XGB` and `CatBoost` are gradient-boosted trees of their default depth and rate."""
+    """Fit a model by name, on all rows of `df`. `XGB` and `CatBoost` are second-order boosting (`boosting`)."""
     cols = list(cols)
     if name in REGISTRY:
         return REGISTRY[name](df, cols, y, classification, **params)
@@ -286,19 +262,22 @@ def fit_model(name: str, df: DataFrame, cols: Sequence[str], y: str, classificat
     if name == "ExtraTrees":
         return _extra_trees(df, cols, y, classification, **params)
     if name == "MLP" and not classification:
-        return _perceptron(df, cols, y, **params)
+        return _numpy("MLP", cols, False, kernels.perceptron(df, cols, y, **params))
+    if name in ("XGB", "CatBoost"):
+        return _second_order(name, df, cols, y, classification, **params)
+    if name in ("ElasticNetCV", "LassoCV"):
+        return path_cv(name, df, cols, y, **({"elastic": 1.0 if name == "LassoCV" else 0.5} | params))
     n = None
     if name in ("Logistic", "Ridge"):
         n, sigma = df.agg(F.count("*"), F.stddev_pop(F.col(y).cast("double"))).first()
-    boosted = {"GradientBoosting": dict(maxIter=100, stepSize=0.1, maxDepth=3), "XGB": dict(maxIter=100, stepSize=0.3, maxDepth=6), "CatBoost": dict(maxIter=100, stepSize=0.1, maxDepth=6)}
-    if name in boosted:
-        settings = boosted[name] | {"seed": 42} | params
+    if name == "GradientBoosting":
+        settings = dict(maxIter=100, stepSize=0.1, maxDepth=3, seed=42) | params
         return _spark(name, GBTClassifier(**settings) if classification else GBTRegressor(**settings), df, cols, y, classification)
     if classification:
         makers = {
             "Logistic": lambda C=1.0, **k: LogisticRegression(regParam=1 / (C * max(n, 1)), standardization=False, **k),
             "SVM": lambda kernel="linear", C=1.0, **k: LinearSVC(regParam=1 / C / 100, **k),
-            "RandomForest": lambda **k: RandomForestClassifier(**({"numTrees": 100, "maxDepth": 10, "featureSubsetStrategy": "sqrt", "seed": 42} | k)),
+            "RandomForest": lambda **k: RandomForestClassifier(**({"numTrees": 100, "maxDepth": 30, "featureSubsetStrategy": "sqrt", "seed": 42} | k)),
             "MLP": lambda hidden=150, **k: MultilayerPerceptronClassifier(layers=[len(cols), hidden, 2], seed=42, **k),
         }
     else:
@@ -307,7 +286,7 @@ def fit_model(name: str, df: DataFrame, cols: Sequence[str], y: str, classificat
             "Ridge": lambda alpha=1.0, **k: LinearRegression(regParam=alpha * sigma / max(n, 1), elasticNetParam=0.0, standardization=False, solver="normal", **k),
             "ElasticNet": lambda **k: LinearRegression(**({"regParam": 0.1, "elasticNetParam": 0.5, "standardization": False} | k)),
             "Lasso": lambda **k: LinearRegression(**({"regParam": 0.01, "elasticNetParam": 1.0, "standardization": False} | k)),
-            "RandomForest": lambda **k: RandomForestRegressor(**({"numTrees": 100, "maxDepth": 10, "featureSubsetStrategy": "all", "seed": 42} | k)),
+            "RandomForest": lambda **k: RandomForestRegressor(**({"numTrees": 100, "maxDepth": 30, "featureSubsetStrategy": "all", "seed": 42} | k)),
         }
     if name not in makers:
         raise ValueError(f"unknown model {name}")

@@ -9,6 +9,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodewright.functions import kernels
+from lodewright.operators.running import quantile_row
+
 #: Rows of one block; a task holds one block of queries and one of fitted rows.
 CHUNK = 4096
 
@@ -90,8 +93,45 @@ def lof_domain(fitted: DataFrame, queries: DataFrame, k: int = 20, rate: float =
     return _in_or_out(asked, own, rate)
 
 
+#: Widths of the kernel that are tried: powers of two, fixed values.
+GAMMAS = tuple(2.0**k for k in range(-20, 11))
+
+
+def best_gamma(fitted: DataFrame) -> float:
+    """The width for which the kernel's values over all pairs of fitted rows vary most; (`id`, `x`), distances standardised.
+
+    Blocks of pairs return counts, sums and squares for every width; nothing else leaves them.
+    """
+
+    def part(q: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
+        if not len(q) or not len(t):
+            return pd.DataFrame({"g": [], "n": [], "s": [], "ss": []})
+        a, b = np.array(q["x"].tolist(), float), np.array(t["x"].tolist(), float)
+        d = np.sqrt(np.maximum((a**2).sum(1)[:, None] + (b**2).sum(1)[None, :] - 2 * a @ b.T, 0))
+        k = [np.exp(-g * d) for g in GAMMAS]
+        return pd.DataFrame({"g": range(len(GAMMAS)), "n": d.size, "s": [v.sum() for v in k], "ss": [(v * v).sum() for v in k]})
+
+    sums = chunked_pairs(fitted.select("id", "x"), fitted.select("id", "x"), "id", "id", part, "g int, n double, s double, ss double")
+    rows = sums.groupBy("g").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("ss").alias("ss")).collect()
+    spread = {r["g"]: r["ss"] / r["n"] - (r["s"] / r["n"]) ** 2 for r in rows}
+    return GAMMAS[max(spread, key=lambda g: (spread[g], -g))] if spread else 1.0
+
+
+def machine_domain(fitted: DataFrame, queries: DataFrame, nu: float = 0.5, rate: float = 0.05) -> DataFrame:
+    """(`id`, `score`, `domain`) with the margin of a one-class machine on standardised features as score."""
+    n = fitted.select(F.size("x")).first()[0]
+    cols = [f"x{i}" for i in range(n)]
+    spread = lambda t: t.where("x is not null").select("id", *(F.col("x")[i].alias(c) for i, c in enumerate(cols)))
+    own = spread(fitted)
+    variances = seuclidean_variances(own, cols)
+    both = [t.select("id", scaled(cols, variances).alias("x")).select("id", "x", *(F.col("x")[i].alias(c) for i, c in enumerate(cols))) for t in (own, spread(queries))]
+    machine = kernels.one_class(both[0], cols, nu, best_gamma(both[0]))
+    score = lambda t: t.select("id", kernels.margin_column(machine, cols).alias("score"))
+    return _in_or_out(score(both[1]), score(both[0]), rate)
+
+
 def _in_or_out(scores: DataFrame, own: DataFrame, rate: float) -> DataFrame:
-    cut = own.agg(F.percentile("score", F.lit(rate))).first()[0]
+    cut = quantile_row(own, {"score": F.col("score")}, [rate]).get("score", [None])[0]
     label = F.when(F.col("score") - F.lit(cut) > 0, F.lit("in")).otherwise(F.lit("out"))
     return scores.select("id", "score", label.alias("domain"))
 

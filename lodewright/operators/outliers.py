@@ -11,10 +11,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodewright.functions import kernels
 from lodewright.functions.special import probit
 from lodewright.operators.missing import MissingHandler, _moments
 from lodewright.operators.neighbours import local_outlier_factor
 from lodewright.operators.profile import Roles, collect_stats, feature_stats, long_form, missing_as_null
+from lodewright.operators.running import even_quantile_row, quantile_row
 
 
 def fences(stats: DataFrame) -> DataFrame:
@@ -143,9 +145,8 @@ class UnivariateOutliersHandler:
             state = fit_yeo_johnson(df, cols)
         elif self.method in ("uniform", "normal") and cols:
             n = min(1000, df.count())
-            marks = F.array(*(F.lit(i / (n - 1)) for i in range(n))) if n > 1 else F.array(F.lit(0.5))
-            row = df.agg(*(F.percentile(F.col(c).cast("double"), marks).alias(c) for c in cols)).first()
-            state = {c: tuple(row[c]) for c in cols if row[c] is not None}
+            found = even_quantile_row(df, {c: F.col(c) for c in cols}, n)
+            state = {c: tuple(found[c]) for c in cols if c in found}
         fitted = replace(self, bounds=bounds, state=state)
         if self.method == "imputation":
             filler = MissingHandler(100.0, self.strategy, self.neighbours, roles=self.roles)
@@ -184,17 +185,6 @@ class UnivariateOutliersHandler:
         return df.withColumns({c: probit(m) if self.method == "normal" else m for c, m in mapped.items()})
 
 
-def mahalanobis(df: DataFrame, cols: Sequence[str], fitted: DataFrame | None = None) -> DataFrame:
-    """The rows with `d2`, their squared Mahalanobis distance from the fitted rows' mean."""
-    n, mean, s = _moments(fitted if fitted is not None else df, list(cols), F.lit(True))
-    inverse = np.linalg.pinv(s / max(n, 1))
-    d2 = F.lit(0.0)
-    for i, a in enumerate(cols):
-        for j, b in enumerate(cols):
-            d2 = d2 + F.lit(float(inverse[i, j])) * (F.col(a) - float(mean[i])) * (F.col(b) - float(mean[j]))
-    return df.withColumn("d2", d2)
-
-
 def _isolation_tree(x: np.ndarray, rng: np.random.Generator, depth: int, limit: int) -> dict | tuple[int]:
     spread = np.flatnonzero(x.max(0) > x.min(0)) if len(x) > 1 else []
     if depth >= limit or not len(spread):
@@ -217,20 +207,38 @@ def _depths(tree, x: np.ndarray, depth: int = 0) -> np.ndarray:
     return out
 
 
-def isolation_scores(df: DataFrame, cols: Sequence[str], id_col: str, trees: int = 100, sample: int = 256, seed: int = 42) -> DataFrame:
-    """The rows with `score`, from 0 to 1 (isolated); each tree is grown on `sample` rows by order of a hash, as the
-    method defines it, and every row is scored by all trees in Arrow batches."""
-    hashes = df.select(*cols, F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"), F.col(id_col).alias("i")).withColumn("h", F.xxhash64(F.lit(seed), "tree", "i"))
+def grow_isolation(df: DataFrame, cols: Sequence[str], id_col: str, trees: int = 100, sample: int = 256, seed: int = 42) -> tuple[list, int]:
+    """Isolation trees, each on `sample` rows as the method defines it, and how many rows a tree was grown on.
+
+    A row is offered to as many trees as a hash of its id says (few), so the table is read once and a row is not
+    copied for every tree; each tree takes the first of its rows by hash.
+    """
     kept = df.count()
-    share = min(1.0, 4.0 * sample / max(kept, 1))
-    small = hashes.where(F.col("h") < F.lit(int((share - 0.5) * (1 << 63) * 1.999999))) if share < 1 else hashes
+    rate = 4.0 * sample / max(kept, 1)
+    if rate >= 1:
+        offered = df.select(*cols, F.col(id_col).alias("i"), F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
+    else:
+        # Gaps between a row's trees are geometric with the rate, by inversion of hashes: about trees * rate copies a row.
+        @F.pandas_udf("array<int>")
+        def chosen(h: pd.Series) -> pd.Series:
+            out = []
+            for value in h.to_numpy(np.int64):
+                rng = np.random.default_rng([seed, int(value) & 0xFFFFFFFF, (int(value) >> 32) & 0xFFFFFFFF])
+                out.append(np.flatnonzero(rng.random(trees) < rate).astype(np.int32))
+            return pd.Series(out)
+
+        offered = df.select(*cols, F.col(id_col).alias("i"), F.explode(chosen(F.xxhash64(F.lit(seed), F.col(id_col)))).alias("tree"))
+    small = offered.withColumn("h", F.xxhash64(F.lit(seed), "tree", "i"))
     grown = small.groupBy("tree").applyInPandas(
         lambda g: pd.DataFrame({"tree": [int(g["tree"].iloc[0])], "model": [repr(_grow(g.nsmallest(sample, "h")[list(cols)].to_numpy(float), seed + int(g["tree"].iloc[0])))]}), "tree long, model string"
     )
     import ast
 
-    models = [ast.literal_eval(r["model"]) for r in grown.orderBy("tree").collect()]
-    size = min(sample, kept)
+    return [ast.literal_eval(r["model"]) for r in grown.orderBy("tree").collect()], min(sample, kept)
+
+
+def isolation_scores(df: DataFrame, cols: Sequence[str], models: list, size: int) -> DataFrame:
+    """The rows with `score`, from 0 to 1 (isolated): every row is scored by all trees in Arrow batches."""
 
     @F.pandas_udf("double")
     def score(*xs: pd.Series) -> pd.Series:
@@ -245,57 +253,125 @@ def _grow(x: np.ndarray, seed: int):
     return _isolation_tree(x, np.random.default_rng(seed), 0, max(1, math.ceil(math.log2(max(2, len(x))))))
 
 
-MULTIVARIATE = ("LocalOutlierFactor", "IsolationForest", "RobustCovariance", "EmpiricalCovariance")
+MULTIVARIATE = ("LocalOutlierFactor", "IsolationForest", "OneClassSVM", "RobustCovariance", "EmpiricalCovariance")
+
+
+def mahalanobis_of(df: DataFrame, cols: Sequence[str], mean: np.ndarray, inverse: np.ndarray) -> DataFrame:
+    """The rows with `d2`, in Arrow batches: one product of matrices for each."""
+
+    @F.pandas_udf("double")
+    def run(*xs: pd.Series) -> pd.Series:
+        x = np.column_stack([v.to_numpy(float) for v in xs]) - mean
+        return pd.Series(np.einsum("ij,jk,ik->i", x, inverse, x))
+
+    return df.withColumn("d2", run(*(F.col(c).cast("double") for c in cols)))
+
+
+def _concentrate(df: DataFrame, cols: list[str], mean: np.ndarray, inverse: np.ndarray, steps: int, share: float = 0.5) -> tuple[float, np.ndarray, np.ndarray]:
+    """Concentration steps: moments of the share of rows nearest to the moments before. Gives the log determinant, too."""
+    log_det = np.inf
+    for _ in range(steps):
+        scored = mahalanobis_of(df, cols, mean, inverse)
+        half = quantile_row(scored, {"d2": F.col("d2")}, [share]).get("d2", [0.0])[0]
+        n, mean, s = _moments(scored.where(F.col("d2") <= half), cols, F.lit(True))
+        s = s / max(n, 1)
+        now = float(np.linalg.slogdet(s + 1e-12 * np.eye(len(cols)))[1])
+        inverse = np.linalg.pinv(s)
+        if abs(now - log_det) < 1e-9:
+            break
+        log_det = now
+    return log_det, mean, inverse
+
+
+def robust_moments(df: DataFrame, cols: list[str], starts: int = 10, kept: int = 2, seed: int = 42) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and inverse covariance of the half of the rows with the least determinant, by the fast algorithm for it:
+    `starts` random small sets of rows, two concentration steps each, and full concentration from the best `kept`."""
+    from lodewright.session import Scratch
+
+    rows = Scratch(df.sparkSession).save(df.select(*(F.col(c).cast("double").alias(c) for c in cols)).withColumn("__h", F.xxhash64(F.lit(seed), *cols)))
+    need = len(cols) + 1
+    first = rows.orderBy("__h", *cols).limit(10 * need * starts).drop("__h").toPandas().to_numpy(float)  # sets to start from, of fixed size
+    if len(first) < 2:
+        return (first.mean(0) if len(first) else np.zeros(len(cols))), np.zeros((len(cols), len(cols)))
+    rng, tried = np.random.default_rng(seed), []
+    for _ in range(starts):
+        part = first[rng.choice(len(first), min(need, len(first)), replace=False)]
+        inverse = np.linalg.pinv(np.atleast_2d(np.cov(part.T, bias=True)) + 1e-9 * np.eye(len(cols)))
+        tried.append(_concentrate(rows, cols, part.mean(0), inverse, 2))
+    best = [_concentrate(rows, cols, m, v, 15) for _, m, v in sorted(tried, key=lambda t: t[0])[:kept]]
+    _, mean, inverse = min(best, key=lambda t: t[0])
+    return mean, inverse
 
 
 @dataclass(frozen=True)
 class MultivariateOutliersHandler:
     """Drops rows that are outliers as a whole; rows with a missing feature must be filled before.
 
-    `LocalOutlierFactor`: factor above 1.5 with 20 neighbours, new rows against the fitted ones; `IsolationForest`:
-    score above 0.5; the covariance methods: the tenth of fitted rows with the greatest Mahalanobis distance, from the
-    moments of all rows (`EmpiricalCovariance`) or of the half that stays nearest over repeated concentration steps
-    (`RobustCovariance`).
+    `LocalOutlierFactor`: factor above 1.5 with 20 neighbours, new rows against the fitted ones (rows whose id is among
+    the fitted ones count as those); `IsolationForest`: score above 0.5 on the trees grown at fitting; `OneClassSVM`:
+    negative margin; the covariance methods: the tenth of fitted rows with the greatest Mahalanobis distance, from the
+    moments of all rows (`EmpiricalCovariance`) or of the tightest half (`RobustCovariance`).
     """
 
     method: str = "LocalOutlierFactor"
     seed: int = 42
+    nu: float = 0.5
     roles: Roles = Roles()
     deactivate: bool = False
     fitted: DataFrame | None = None
-    cut: float | None = None
-
-    def _core(self, df: DataFrame, cols: list[str]) -> DataFrame:
-        core = df
-        if self.method == "RobustCovariance":
-            for _ in range(10):
-                scored = mahalanobis(df, cols, core)
-                half = scored.agg(F.percentile("d2", F.lit(0.5))).first()[0]
-                core = scored.where(F.col("d2") <= half).drop("d2")
-        return core
+    state: dict = field(default_factory=dict)
 
     def fit(self, df: DataFrame) -> MultivariateOutliersHandler:
         if self.method not in MULTIVARIATE:
             raise ValueError(f"method must be one of {', '.join(MULTIVARIATE)}")
         if self.deactivate:
             return self
-        cut = None
-        if self.method.endswith("Covariance"):
-            cols = self.roles.features(df)
-            core = self._core(df, cols)
-            cut = mahalanobis(df, cols, core).agg(F.percentile("d2", F.lit(0.9))).first()[0]
-            return replace(self, fitted=core, cut=cut)
-        return replace(self, fitted=df, cut=cut)
+        cols = self.roles.features(df)
+        if not cols:
+            return self
+        if self.method == "LocalOutlierFactor":
+            return replace(self, fitted=df, state={"cols": cols})
+        if self.method == "IsolationForest":
+            models, size = grow_isolation(df, cols, self.roles.id, seed=self.seed)
+            return replace(self, state={"cols": cols, "models": models, "size": size})
+        if self.method == "OneClassSVM":
+            m = kernels.one_class(df, cols, self.nu)
+            return replace(self, state={"cols": cols, "gamma": m.features.gamma, "half": m.features.half, "shift": m.shift.tolist(), "weights": m.weights.tolist()})
+        if self.method == "RobustCovariance":
+            mean, inverse = robust_moments(df, cols, seed=self.seed)
+        else:
+            n, mean, s = _moments(df, cols, F.lit(True))
+            inverse = np.linalg.pinv(s / max(n, 1))
+        cut = quantile_row(mahalanobis_of(df, cols, mean, inverse), {"d2": F.col("d2")}, [0.9]).get("d2", [0.0])[0]
+        return replace(self, state={"cols": cols, "mean": mean.tolist(), "inverse": inverse.tolist(), "cut": cut})
 
     def transform(self, df: DataFrame) -> DataFrame:
-        if self.deactivate or self.fitted is None:
+        if self.deactivate or not self.state:
             return df
-        cols = self.roles.features(df)
+        cols, state = self.state["cols"], self.state
         if self.method == "LocalOutlierFactor":
             vectors = lambda t: t.select(F.col(self.roles.id).alias("id"), F.array(*(F.col(c).cast("double") for c in cols)).alias("x"))
-            factors = local_outlier_factor(vectors(self.fitted), 20, None if df is self.fitted else vectors(df))
-            good = factors.where("lof <= 1.5").select(F.col("id").alias(self.roles.id))
-            return df.join(good, self.roles.id, "left_semi")
+            own = vectors(self.fitted)
+            new = df.join(self.fitted.select(self.roles.id), self.roles.id, "left_anti")
+            good = local_outlier_factor(own, 20).where("lof <= 1.5").select("id")
+            if not new.isEmpty():
+                good = good.unionByName(local_outlier_factor(own, 20, vectors(new)).where("lof <= 1.5").select("id"))
+            return df.join(good.withColumnRenamed("id", self.roles.id), self.roles.id, "left_semi")
         if self.method == "IsolationForest":
-            return isolation_scores(df, cols, self.roles.id, seed=self.seed).where("score <= 0.5").drop("score")
-        return mahalanobis(df, cols, self.fitted).where(F.col("d2") <= self.cut).drop("d2")
+            return isolation_scores(df, cols, state["models"], state["size"]).where("score <= 0.5").drop("score")
+        if self.method == "OneClassSVM":
+            machine = kernels.Machine(kernels.RandomFeatures(len(cols), state["gamma"], state["half"]), np.array(state["shift"]), np.array(state["weights"]))
+            return df.withColumn("__m", kernels.margin_column(machine, cols)).where("__m >= 0").drop("__m")
+        return mahalanobis_of(df, cols, np.array(state["mean"]), np.array(state["inverse"])).where(F.col("d2") <= state["cut"]).drop("d2")
+
+
+def compare_removal(df: DataFrame, handlers: dict[str, object], others: dict[str, DataFrame] | None = None) -> DataFrame:
+    """(`data`, `method`, `n_rows`, `n_left`, `n_removed`, `removed_pct`): what each handler, fitted on `df`, leaves of it and of
+    other tables."""
+    rows = []
+    for name, handler in handlers.items():
+        fitted = handler.fit(df)
+        for data, table in ({"train": df} | (others or {})).items():
+            n, left = table.count(), fitted.transform(table).count()
+            rows.append((data, name, n, left, n - left, round(100.0 * (n - left) / max(n, 1), 6)))
+    return df.sparkSession.createDataFrame(rows, "data string, method string, n_rows long, n_left long, n_removed long, removed_pct double")

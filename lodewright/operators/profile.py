@@ -14,6 +14,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, FloatType, NumericType
 
+from lodewright.operators.running import quantiles_of_counts
+from lodewright.session import Scratch
+
 
 @dataclass(frozen=True)
 class Roles:
@@ -58,17 +61,29 @@ def feature_stats(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """(`feature`, `n`, `n_missing`, `missing_pct`, `is_binary`, `mean`, `median`, `mode`, `variance`, `q1`, `q3`,
     `low`, `high`): population variance, interpolated quantiles, the smallest of the most frequent values.
 
-    The exact quantiles and modes hold one counter per distinct value of a feature.
+    Values are counted once and written; moments, modes and quantiles come from the counts, in ranges of values, so
+    neither a feature with billions of distinct values nor one value with all rows fills a task.
     """
+    scratch = Scratch(df.sparkSession)
     x = F.col("x")
+    cells = long_form(df, cols)
+    counts = scratch.save(cells.groupBy("feature", "x").agg(F.count("*").alias("c")))
+    there = F.when(x.isNotNull(), F.col("c"))
+    mean = counts.groupBy("feature").agg(
+        F.sum("c").alias("n"), F.sum(F.when(x.isNull(), F.col("c")).otherwise(0)).alias("n_missing"), is_binary(x).alias("is_binary"),
+        F.try_divide(F.sum(x * there), F.sum(there)).alias("mean"), F.min(x).alias("low"), F.max(x).alias("high"),
+        F.min_by(F.when(x.isNotNull(), x), F.when(x.isNotNull(), F.struct(-F.col("c"), x))).alias("mode"),
+    )
+    mean = scratch.save(mean)
+    centred = counts.where("x is not null").join(F.broadcast(mean.select("feature", "mean")), "feature")  # one row per column
+    spread = centred.groupBy("feature").agg((F.sum(F.col("c") * (x - F.col("mean")) * (x - F.col("mean"))) / F.sum("c")).alias("variance"))
+    quantiles = quantiles_of_counts(counts.where("x is not null"), ["feature"], (0.25, 0.5, 0.75), scratch)
     return (
-        long_form(df, cols).groupBy("feature").agg(
-            F.count("*").alias("n"), F.count_if(x.isNull()).alias("n_missing"),
-            (F.lit(100.0) * F.count_if(x.isNull()) / F.count("*")).alias("missing_pct"), is_binary(x).alias("is_binary"),
-            F.avg(x).alias("mean"), F.mode(x, True).alias("mode"), F.var_pop(x).alias("variance"),
-            F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"), F.min(x).alias("low"), F.max(x).alias("high"),
+        mean.join(F.broadcast(spread), "feature", "left").join(F.broadcast(quantiles), "feature", "left")
+        .select(
+            "feature", "n", "n_missing", (F.lit(100.0) * F.col("n_missing") / F.col("n")).alias("missing_pct"), "is_binary", "mean", F.col("q")[1].alias("median"), "mode", "variance",
+            F.col("q")[0].alias("q1"), F.col("q")[2].alias("q3"), "low", "high",
         )
-        .select("feature", "n", "n_missing", "missing_pct", "is_binary", "mean", F.col("q")[1].alias("median"), "mode", "variance", F.col("q")[0].alias("q1"), F.col("q")[2].alias("q3"), "low", "high")
     )
 
 

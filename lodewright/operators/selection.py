@@ -122,7 +122,7 @@ MODEL_SELECTORS = ("RandomForest", "ExtraTrees", "AdaBoost", "GradientBoosting",
 @dataclass(frozen=True)
 class FeatureSelector:
     """Selects features by `method`: `NoFS`, `Anova`, `MutualInformation`, one of the tree models (importance at or
-    above the mean), `Logistic` (half L1) or `Lasso` (weights above 1e-5), or a registered function (df, cols, y) -> names."""
+    above the mean), `Logistic` (half L1) or `Lasso` (its penalty by cross-validation; weights above 1e-5), or a registered function (df, cols, y) -> names."""
 
     method: str = "NoFS"
     classification: bool = True
@@ -147,7 +147,7 @@ class FeatureSelector:
             names = top_k(mutual_information_scores(df, cols, y, self.classification, self.roles.id), self.k)
         elif self.method in (*MODEL_SELECTORS, "Logistic", "Lasso"):
             params = {"elasticNetParam": 0.5} if self.method == "Logistic" else {}
-            weights = importances(fit_model(self.method, df, cols, y, self.classification, **params), cols)
+            weights = importances(fit_model("LassoCV" if self.method == "Lasso" else self.method, df, cols, y, self.classification, **params), cols)
             cut = 1e-5 if self.method in ("Logistic", "Lasso") else sum(weights.values()) / max(1, len(weights))
             names = [c for c in cols if abs(weights[c]) >= cut]
         else:

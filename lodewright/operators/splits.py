@@ -8,7 +8,10 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodewright.operators.hotkeys import join_group
 from lodewright.operators.neighbours import tanimoto_links
+from lodewright.operators.running import running_sums
+from lodewright.session import Scratch
 
 
 def digest(seed: int, *cols: str) -> Column:
@@ -16,13 +19,20 @@ def digest(seed: int, *cols: str) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), *(F.col(c).cast("string") for c in cols)))
 
 
+#: Rows whose ranks are counted in one task, on average.
+RANK_ROWS = 100_000
+
+
 def ranked(df: DataFrame, order: Column, keys: Sequence[str] = (), name: str = "rank") -> DataFrame:
     """The rows with their rank (from 1) by a hexadecimal digest within `keys`.
 
-    Ranks are counted within the first two digits of the digest (256 parts) and shifted by the sizes of the parts
-    before, so no task sorts a whole class.
+    Ranks are counted within the first digits of the digest and shifted by the sizes of the parts before; there are as
+    many digits as leave about `RANK_ROWS` rows to a part, so no task sorts a whole class.
     """
-    cut = df.withColumn("__order", order).withColumn("__part", F.substring("__order", 1, 2))
+    digits, n = 1, df.count()
+    while n > RANK_ROWS * 16**digits:
+        digits += 1
+    cut = df.withColumn("__order", order).withColumn("__part", F.substring("__order", 1, digits))
     sizes = cut.groupBy(*keys, "__part").agg(F.count("*").alias("__n"))
     before = sizes.withColumn(
         "__before", F.coalesce(F.sum("__n").over(Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -81,21 +91,27 @@ def greedy_fill(groups: DataFrame, order: Sequence[Column], cutoff: int, first:
     """(`group`, `split`): groups in order go to `first` while they fit below the cutoff, else to `second`; a smaller
     group later on may still fit.
 
-    Only runs of groups of equal size matter for where the sums stand, but the order is given group by group, so the
-    fold runs over one array of (size, group) on one executor: groups, never records.
+    Pass by pass: of the groups that are still small enough, all up to the first one that no longer fits are taken at
+    once, by running sums over ranges of the order; that one is passed over, and only smaller groups after it remain.
+    Each pass leaves less room than the group passed over was large, so there are few. Groups without a size, and the
+    order of equal ones, follow the group's name.
     """
-    row = F.struct(*(c.alias(f"o{i}") for i, c in enumerate(order)), F.col("size").alias("size"), F.col("group").alias("group"))
-    start = F.struct(F.lit(0).cast("long").alias("sum"), F.array().cast("array<string>").alias("in"))
-
-    def step(acc: Column, x: Column) -> Column:
-        fits = acc["sum"] + x["size"] <= cutoff
-        return F.struct(
-            F.when(fits, acc["sum"] + x["size"]).otherwise(acc["sum"]).alias("sum"),
-            F.when(fits, F.array_append(acc["in"], x["group"])).otherwise(acc["in"]).alias("in"),
-        )
-
-    chosen = groups.agg(F.array_sort(F.collect_list(row)).alias("xs")).select(F.explode(F.aggregate("xs", start, step)["in"]).alias("group")).withColumn("hit", F.lit(True))
-    return groups.join(chosen, "group", "left").select("group", F.when(F.col("hit"), F.lit(first)).otherwise(F.lit(second)).alias("split"))
+    scratch = Scratch(groups.sparkSession)
+    every = scratch.save(groups.select("group", F.coalesce("size", F.lit(0)).cast("long").alias("size"), F.struct(*(c.alias(f"o{i}") for i, c in enumerate(order)), F.col("group").alias("g")).alias("key")))
+    left, room, taken = every.where(F.col("size") <= max(cutoff, 0)), cutoff, every.limit(0).select("group")
+    while room >= 0:
+        sums = scratch.save(running_sums(left, [], ["key"], {"upto": "size"}, scratch))
+        stop = sums.where(F.col("upto") > room).agg(F.min("key").alias("key"), F.count("*").alias("n")).first()
+        if not stop["n"]:
+            taken = taken.unionByName(sums.select("group"))
+            break
+        stopped = sums.where(F.col("upto") > room).orderBy("key").limit(1).select(F.col("key").alias("stop"))
+        marked = sums.join(F.broadcast(stopped))  # one row
+        inside = scratch.save(marked.where("key < stop").select("group", "size"))
+        taken = taken.unionByName(inside.select("group"))
+        room -= inside.agg(F.sum("size")).first()[0] or 0
+        left = scratch.save(marked.where((F.col("key") > F.col("stop")) & (F.col("size") <= room)).select("group", "size", "key"))
+    return every.join(taken.withColumn("hit", F.lit(True)), "group", "left").select("group", F.when(F.col("hit"), F.lit(first)).otherwise(F.lit(second)).alias("split"))
 
 
 def group_split(df: DataFrame, id_col: str, group_col: str, test_size: float = 0.2, seed: int | None = None) -> DataFrame:
@@ -110,8 +126,9 @@ def group_split(df: DataFrame, id_col: str, group_col: str, test_size: float = 0
         placed = greedy_fill(groups, [-F.col("size"), -F.col("first_id")], int((1 - test_size) * n + 1e-9))
     else:
         placed = greedy_fill(groups, [digest(seed, "first_id")], int(test_size * n + 1e-9), "test", "train")
-    key = _group_key(id_col, group_col)
-    return df.withColumn("__group", key).join(placed.withColumnRenamed("group", "__group"), "__group").drop("__group")
+    named = placed.join(groups.select("group", "size"), "group").select(F.col("group").alias("__group"), "split", F.col("size").alias("n"))
+    out = join_group(df.withColumn("__group", _group_key(id_col, group_col)), Scratch(df.sparkSession).save(named), ["__group"], id_col)
+    return out.drop("__group")
 
 
 def stratified_group_folds(df: DataFrame, id_col: str, group_col: str, class_col: str, n_splits: int = 5) -> DataFrame:
@@ -144,8 +161,6 @@ def sphere_exclusion(rows: DataFrame, cutoff: float = 0.35) -> DataFrame:
     `rows` (`id`, `bits`). A row becomes a centre once no row left around it comes first, so all local leaders of a
     round are taken at once; the result is that of taking them one at a time. Neighbour counts are those of the start.
     """
-    from lodewright.session import Scratch
-
     scratch = Scratch(rows.sparkSession)
     links = tanimoto_links(rows, cutoff)
     both = scratch.save(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))))

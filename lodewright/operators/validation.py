@@ -63,12 +63,13 @@ SPACE = {
     "ExtraTrees": {"trees": (10, 250, "int")},
     "AdaBoost": {"rounds": (10, 250, "int")},
     "GradientBoosting": {"maxIter": (10, 250, "int"), "stepSize": (0.01, 1.0, "float"), "maxDepth": (2, 30, "int")},
-    "XGB": {"maxIter": (10, 250, "int"), "stepSize": (0.01, 1.0, "float"), "maxDepth": (2, 30, "int")},
-    "CatBoost": {"maxIter": (50, 200, "int"), "stepSize": (0.01, 1.0, "float"), "maxDepth": (2, 10, "int")},
+    "XGB": {"rounds": (10, 250, "int"), "rate": (0.01, 1.0, "float"), "depth": (2, 12, "int")},
+    "CatBoost": {"rounds": (50, 200, "int"), "rate": (0.01, 1.0, "float"), "depth": (2, 10, "int")},
     "MLP": {"hidden": (50, 200, "int")},
     "SVM": {"c": (0.1, 10.0, "float")},
     "Ridge": {"alpha": (0.1, 10.0, "float")},
     "ElasticNet": {"elasticNetParam": (0.1, 1.0, "float")},
+    "ElasticNetCV": {"elastic": (0.1, 1.0, "float")},
     "Linear": {},
     "Dummy": {},
 }
