@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -103,6 +104,20 @@ def studentized_range_sf(q: float, k: int, df: float) -> float:
     return float(min(1.0, max(0.0, 1 - np.sum(ws * np.exp(log_density) * inner))))
 
 
+@lru_cache(maxsize=1024)
+def studentized_range_ppf(alpha: float, k: int, df: float) -> float:
+    """The range that k means exceed with probability alpha, by bisection."""
+    low, high = 0.0, 4.0
+    while studentized_range_sf(high, k, df) > alpha and high < 1e4:
+        high *= 2
+    for _ in range(50):
+        middle = (low + high) / 2
+        low, high = (middle, high) if studentized_range_sf(middle, k, df) > alpha else (low, middle)
+        if high - low < 1e-9 * high:
+            break
+    return (low + high) / 2
+
+
 def _column(f, *cols: Column) -> Column:
     @F.pandas_udf(DoubleType())
     def run(*xs: pd.Series) -> pd.Series:
@@ -127,6 +142,10 @@ def range_p(q: Column, k: Column, df: Column) -> Column:
     return _column(lambda a, b, c: studentized_range_sf(a, int(b), c), q, k, df)
 
 
+def range_quantile(alpha: Column, k: Column, df: Column) -> Column:
+    return _column(lambda a, b, c: studentized_range_ppf(a, int(b), c) , alpha, k, df)
+
+
 def probit(p: Column) -> Column:
     @F.pandas_udf(DoubleType())
     def run(values: pd.Series) -> pd.Series:

@@ -10,10 +10,15 @@ from pyspark.sql import functions as F
 
 def write_back(records: DataFrame, predictions: DataFrame, id_col: str, cols: Sequence[str]) -> DataFrame:
     """Records with the predicted columns where there is a prediction, else their own; ids of predictions are unique."""
-    new = predictions.select(F.col(id_col).alias("__id"), *(F.col(c).alias(f"__{c}") for c in cols))
+    new = predictions.select(F.col(id_col).alias("__id"), *(quoted(c).alias(f"__{i}") for i, c in enumerate(cols)))
     joined = records.join(new, F.col(id_col) == F.col("__id"), "left")
-    kept = {c: F.coalesce(f"__{c}", c) if c in records.columns else F.col(f"__{c}") for c in cols}
-    return joined.withColumns(kept).select(*records.columns, *(c for c in cols if c not in records.columns))
+    kept = {c: F.coalesce(F.col(f"__{i}"), quoted(c)) if c in records.columns else F.col(f"__{i}") for i, c in enumerate(cols)}
+    return joined.select(*(kept.get(c, quoted(c)).alias(c) for c in records.columns), *(kept[c].alias(c) for c in cols if c not in records.columns))
+
+
+def quoted(name: str) -> Column:
+    """A column by its whole name, whatever characters that has."""
+    return F.col("`" + name.replace("`", "``") + "`")
 
 
 def with_domain(predictions: DataFrame, domain: DataFrame, id_col: str) -> DataFrame:

@@ -30,13 +30,17 @@ def target_type(df: DataFrame, y: str) -> str:
 
 @dataclass
 class Fitted:
-    """A fitted model: `score(df)` adds `predicted` and, for classes, `probability` of class 1."""
+    """A fitted model: `score(df)` adds `predicted` and, for classes, `probability` of class 1.
+
+    `kind` and `state` (numbers, Spark models, tables or a function of arrays) are what it is saved by and made from.
+    """
 
     name: str
     cols: list[str]
     classification: bool
     score_fn: Callable[[DataFrame], DataFrame]
-    inner: object = None
+    kind: str = "own"
+    state: dict = field(default_factory=dict)
     weights: dict[str, float] = field(default_factory=dict)
 
     def score(self, df: DataFrame) -> DataFrame:
@@ -49,6 +53,11 @@ def _assembled(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 def _spark(name: str, estimator, df: DataFrame, cols: list[str], y: str, classification: bool) -> Fitted:
     model = estimator.setFeaturesCol("__x").setLabelCol("__y").fit(_assembled(df, cols).withColumn("__y", F.col(y).cast("double")))
+    return _of_spark(name, cols, classification, {"models": [model]})
+
+
+def _of_spark(name: str, cols: list[str], classification: bool, state: dict) -> Fitted:
+    model = state["models"][0]
 
     def score(rows: DataFrame) -> DataFrame:
         out = model.transform(_assembled(rows, cols))
@@ -59,29 +68,39 @@ def _spark(name: str, estimator, df: DataFrame, cols: list[str], y: str, classif
             extra["probability"] = F.col("prediction")
         return out.withColumns({f"__{k}": v for k, v in extra.items()}).select(*rows.columns, *(F.col(f"__{k}").alias(k) for k in extra))
 
-    return Fitted(name, cols, classification, score, model)
+    return Fitted(name, cols, classification, score, "spark", state)
 
 
 def _dummy(df: DataFrame, cols: list[str], y: str, classification: bool) -> Fitted:
-    row = df.agg(F.mode(F.col(y).cast("double"), True), F.avg(F.col(y).cast("double"))).first()
+    counts = df.groupBy(F.col(y).cast("double").alias("v")).agg(F.count("*").alias("n")).where("v is not null")
+    row = counts.agg(F.min_by("v", F.struct(-F.col("n"), F.col("v"))), F.sum(F.col("v") * F.col("n")) / F.sum("n")).first()
+    return _of_dummy("Dummy", cols, classification, {"mode": row[0], "mean": row[1]})
+
 
+def _of_dummy(name: str, cols: list[str], classification: bool, state: dict) -> Fitted:
     def score(rows: DataFrame) -> DataFrame:
-        return rows.withColumns({"predicted": F.lit(row[0] if classification else row[1]), **({"probability": F.lit(row[1])} if classification else {})})
+        value = F.lit(state["mode"] if classification else state["mean"])
+        return rows.withColumns({"predicted": value, **({"probability": F.lit(state["mean"])} if classification else {})})
 
-    return Fitted("Dummy", cols, classification, score, row)
+    return Fitted(name, cols, classification, score, "dummy", state)
 
 
 def _neighbours(df: DataFrame, cols: list[str], y: str, classification: bool, k: int = 5, id_col: str = "rec_id") -> Fitted:
-    rows = lambda t, *more: t.select(F.col(id_col).alias("id"), F.array(*(F.col(c).cast("double") for c in cols)).alias("x"), *more)
-    fitted = rows(df, F.col(y).cast("double").alias("y"))
+    fitted = df.select(F.col(id_col).alias("id"), F.array(*(F.col(c).cast("double") for c in cols)).alias("x"), F.col(y).cast("double").alias("y"))
+    return _of_neighbours("KNeighbors", cols, classification, {"table": fitted, "k": k, "id_col": id_col})
+
+
+def _of_neighbours(name: str, cols: list[str], classification: bool, state: dict) -> Fitted:
+    fitted, k, id_col = state["table"], state["k"], state["id_col"]
 
     def score(t: DataFrame) -> DataFrame:
-        found = vote(rows(t), fitted, "y", k, classification)
+        rows = t.select(F.col(id_col).alias("id"), F.array(*(F.col(c).cast("double") for c in cols)).alias("x"))
+        found = vote(rows, fitted, "y", k, classification)
         if classification:
-            found = found.join(vote(rows(t), fitted, "y", k, False).withColumnRenamed("predicted", "probability"), "id")
+            found = found.join(vote(rows, fitted, "y", k, False).withColumnRenamed("predicted", "probability"), "id")
         return t.join(found.withColumnRenamed("id", id_col), id_col)
 
-    return Fitted("KNeighbors", cols, classification, score)
+    return Fitted(name, cols, classification, score, "neighbours", state)
 
 
 def _boosted(df: DataFrame, cols: list[str], y: str, classification: bool, rounds: int = 50) -> Fitted:
@@ -114,6 +133,16 @@ def _boosted(df: DataFrame, cols: list[str], y: str, classification: bool, round
         if error <= 1e-10:
             break
 
+    weights = dict.fromkeys(cols, 0.0)
+    for b, tree in zip(betas, trees, strict=True):
+        for c, w in zip(cols, tree.featureImportances.toArray(), strict=True):
+            weights[c] += b * float(w) / (sum(betas) or 1.0)
+    return _of_boosted("AdaBoost", cols, classification, {"models": trees, "betas": betas, "weights": weights})
+
+
+def _of_boosted(name: str, cols: list[str], classification: bool, state: dict) -> Fitted:
+    trees, betas = state["models"], state["betas"]
+
     def score(t: DataFrame) -> DataFrame:
         out = _assembled(t, cols)
         names = []
@@ -129,11 +158,7 @@ def _boosted(df: DataFrame, cols: list[str], y: str, classification: bool, round
         median = F.aggregate(votes, start, lambda a, x: F.struct((a["s"] + x["b"]).alias("s"), F.when(a["v"].isNull() & (a["s"] + x["b"] >= total / 2), x["v"]).otherwise(a["v"]).alias("v")))
         return out.select(*t.columns, median["v"].alias("predicted"))
 
-    weights = dict.fromkeys(cols, 0.0)
-    for b, tree in zip(betas, trees, strict=True):
-        for c, w in zip(cols, tree.featureImportances.toArray(), strict=True):
-            weights[c] += b * float(w) / (sum(betas) or 1.0)
-    return Fitted("AdaBoost", cols, classification, score, trees, weights)
+    return Fitted(name, cols, classification, score, "boosted", state, state["weights"])
 
 
 def _numpy(name: str, cols: list[str], classification: bool, predict: Callable[[np.ndarray], np.ndarray], weights: dict | None = None) -> Fitted:
@@ -149,7 +174,7 @@ def _numpy(name: str, cols: list[str], classification: bool, predict: Callable[[
             return rows.withColumn("predicted", value)
         return rows.withColumn("probability", value).withColumn("predicted", F.when(F.col("probability") > 0.5, 1.0).otherwise(0.0))
 
-    return Fitted(name, cols, classification, score, predict, weights or {})
+    return Fitted(name, cols, classification, score, "arrays", {"function": predict, "weights": weights or {}}, weights or {})
 
 
 def _kernel_machine(df: DataFrame, cols: list[str], y: str, classification: bool, c: float = 1.0, epsilon: float = 0.1, gamma: float | None = None) -> Fitted:
@@ -172,8 +197,6 @@ def _second_order(name: str, df: DataFrame, cols: list[str], y: str, classificat
 def _extra_trees(df: DataFrame, cols: list[str], y: str, classification: bool, trees: int = 100, groups: int = 10, cuts: int = 10, maxDepth: int = 20) -> Fitted:
     """Trees on all rows without resampling whose cuts are random: each group of trees knows `cuts` random places in
     the range of every feature and chooses among those only."""
-    from pyspark.ml.feature import Bucketizer
-
     low_high = df.agg(*(f(F.col(c).cast("double")) for c in cols for f in (F.min, F.max))).first()
     groups, parts = min(groups, trees), []
     for g in range(groups):
@@ -182,30 +205,51 @@ def _extra_trees(df: DataFrame, cols: list[str], y: str, classification: bool, t
         for i in range(len(cols)):
             low, high = low_high[2 * i] or 0.0, low_high[2 * i + 1] or 0.0
             inner = np.unique(rng.uniform(low, high, cuts)) if high > low else np.array([low + 0.5])
-            places.append([-float("inf"), *map(float, inner), float("inf")])
-        cutter = Bucketizer(splitsArray=places, inputCols=[f"__f{i}" for i in range(len(cols))], outputCols=[f"__b{i}" for i in range(len(cols))])
-        inner = [f"__b{i}" for i in range(len(cols))]
-        prepared = lambda t, cutter=cutter: cutter.transform(t.withColumns({f"__f{i}": F.col(c).cast("double") for i, c in enumerate(cols)}))
+            places.append([float(v) for v in inner])
         n = trees // groups + (g < trees % groups)
         settings = dict(numTrees=n, maxDepth=maxDepth, bootstrap=False, seed=42 + g, maxBins=max(32, cuts + 2), featureSubsetStrategy="sqrt" if classification else "all")
         maker = RandomForestClassifier if classification else RandomForestRegressor
-        model = maker(**settings).setFeaturesCol("__x").setLabelCol("__y").fit(_assembled(prepared(df), inner).withColumn("__y", F.col(y).cast("double")))
-        parts.append((n, prepared, inner, model))
+        prepared = _cut(df, cols, places).withColumn("__y", F.col(y).cast("double"))
+        parts.append((n, places, maker(**settings).setFeaturesCol("__x").setLabelCol("__y").fit(prepared)))
+    weights = np.sum([n / trees * model.featureImportances.toArray() for n, _, model in parts], axis=0)
+    return _of_extra_trees(
+        "ExtraTrees", cols, classification,
+        {"models": [m for *_, m in parts], "sizes": [n for n, *_ in parts], "places": [p for _, p, _ in parts], "weights": dict(zip(cols, map(float, weights), strict=True))},
+    )
+
+
+def _cut(df: DataFrame, cols: Sequence[str], places: list[list[float]]) -> DataFrame:
+    """The rows with `__x`, the number of the interval each feature is in."""
+    from pyspark.ml.feature import Bucketizer
+
+    names = [(f"__f{i}", f"__b{i}") for i in range(len(cols))]
+    ends = [[-float("inf"), *p, float("inf")] for p in places]
+    cutter = Bucketizer(splitsArray=ends, inputCols=[a for a, _ in names], outputCols=[b for _, b in names])
+    return _assembled(cutter.transform(df.withColumns({a: F.col(c).cast("double") for (a, _), c in zip(names, cols, strict=True)})), [b for _, b in names])
+
+
+def _of_extra_trees(name: str, cols: list[str], classification: bool, state: dict) -> Fitted:
+    total = sum(state["sizes"])
 
     def score(rows: DataFrame) -> DataFrame:
         out, names = rows, []
-        for g, (_, prepared, inner, model) in enumerate(parts):
-            scored = model.transform(_assembled(prepared(out), inner))
+        for g, (places, model) in enumerate(zip(state["places"], state["models"], strict=True)):
             value = vector_to_array("probability")[1] if classification else F.col("prediction")
-            out = scored.select(*rows.columns, *names, value.alias(f"__g{g}"))
+            out = model.transform(_cut(out, cols, places)).select(*rows.columns, *names, value.alias(f"__g{g}"))
             names.append(f"__g{g}")
-        mean = sum((F.col(f"__g{g}") * F.lit(n / trees) for g, (n, *_) in enumerate(parts)), F.lit(0.0))
+        mean = sum((F.col(f"__g{g}") * F.lit(n / total) for g, n in enumerate(state["sizes"])), F.lit(0.0))
         if not classification:
             return out.select(*rows.columns, mean.alias("predicted"))
         return out.select(*rows.columns, F.when(mean > 0.5, 1.0).otherwise(0.0).alias("predicted"), mean.alias("probability"))
 
-    weights = np.sum([n / trees * model.featureImportances.toArray() for n, _, _, model in parts], axis=0)
-    return Fitted("ExtraTrees", cols, classification, score, None, dict(zip(cols, map(float, weights), strict=True)))
+    return Fitted(name, cols, classification, score, "extra_trees", state, state["weights"])
+
+
+#: How a model is made again from what was saved of it.
+REBUILD: dict[str, Callable[[str, list[str], bool, dict], Fitted]] = {
+    "spark": _of_spark, "dummy": _of_dummy, "neighbours": _of_neighbours, "boosted": _of_boosted, "extra_trees": _of_extra_trees,
+    "arrays": lambda name, cols, classification, state: _numpy(name, cols, classification, state["function"], state["weights"]),
+}
 
 
 def path_cv(name: str, df: DataFrame, cols: list[str], y: str, elastic: float, n_alphas: int = 20, folds: int = 5, eps: float = 1e-3, id_cols: Sequence[str] | None = None) -> Fitted:
@@ -297,5 +341,6 @@ def importances(model: Fitted, cols: Sequence[str]) -> dict[str, float]:
     """Weight of each feature: tree importance or coefficient."""
     if model.weights:
         return model.weights
-    values = model.inner.featureImportances if hasattr(model.inner, "featureImportances") else model.inner.coefficients
+    inner = model.state["models"][0]
+    values = inner.featureImportances if hasattr(inner, "featureImportances") else inner.coefficients
     return dict(zip(cols, (float(v) for v in values.toArray()), strict=True))

@@ -108,13 +108,15 @@ def best_gamma(fitted: DataFrame) -> float:
             return pd.DataFrame({"g": [], "n": [], "s": [], "ss": []})
         a, b = np.array(q["x"].tolist(), float), np.array(t["x"].tolist(), float)
         d = np.sqrt(np.maximum((a**2).sum(1)[:, None] + (b**2).sum(1)[None, :] - 2 * a @ b.T, 0))
+        d[q["id"].to_numpy()[:, None] == t["id"].to_numpy()[None, :]] = 0.0
         k = [np.exp(-g * d) for g in GAMMAS]
         return pd.DataFrame({"g": range(len(GAMMAS)), "n": d.size, "s": [v.sum() for v in k], "ss": [(v * v).sum() for v in k]})
 
     sums = chunked_pairs(fitted.select("id", "x"), fitted.select("id", "x"), "id", "id", part, "g int, n double, s double, ss double")
     rows = sums.groupBy("g").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("ss").alias("ss")).collect()
     spread = {r["g"]: r["ss"] / r["n"] - (r["s"] / r["n"]) ** 2 for r in rows}
-    return GAMMAS[max(spread, key=lambda g: (spread[g], -g))] if spread else 1.0
+    # Beyond some width only a row's value with itself is left and the spread no longer changes: the least such width.
+    return GAMMAS[max(spread, key=lambda g: (round(spread[g], 12), -g))] if spread else 1.0
 
 
 def machine_domain(fitted: DataFrame, queries: DataFrame, nu: float = 0.5, rate: float = 0.05) -> DataFrame:

@@ -4,13 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodewright.operators.hotkeys import join_group
 from lodewright.operators.neighbours import tanimoto_links
-from lodewright.operators.running import running_sums
+from lodewright.operators.running import quantile_row, running_sums
 from lodewright.session import Scratch
 
 
@@ -131,28 +130,41 @@ def group_split(df: DataFrame, id_col: str, group_col: str, test_size: float = 0
     return out.drop("__group")
 
 
-def stratified_group_folds(df: DataFrame, id_col: str, group_col: str, class_col: str, n_splits: int = 5) -> DataFrame:
-    """The rows with `fold`: groups of the least even class counts first, each to the fold that keeps the classes most
-    evenly spread. Rows without a group are groups of their own, a missing class is one more class. The driver holds one
-    row of class counts per group, and so one for each row without a group."""
-    # Marked by a letter in front: pandas takes strings apart from the first zero character as equal.
-    key = F.coalesce(F.concat(F.lit("g"), F.col(group_col).cast("string")), F.concat(F.lit("r"), F.col(id_col).cast("string")))
-    kind = F.coalesce(F.concat(F.lit("c"), F.col(class_col).cast("string")), F.lit(""))
-    counts = df.groupBy(key.alias("g"), kind.alias("c")).agg(F.count("*").alias("n")).toPandas()
-    table = counts.pivot_table(index="g", columns="c", values="n", fill_value=0, dropna=False).sort_index()
-    x = table.to_numpy(float)
-    total, folds = x.sum(0), np.zeros((n_splits, x.shape[1]))
-    place = np.zeros(len(x), int)
-    for i in np.argsort(-x.std(1), kind="stable"):
-        spread = []
-        for f in range(n_splits):
-            folds[f] += x[i]
-            spread.append((float((folds / np.maximum(total, 1)).std(0).mean()), folds[f].sum(), f))
-            folds[f] -= x[i]
-        place[i] = min(spread)[2]
-        folds[place[i]] += x[i]
-    mapping = df.sparkSession.createDataFrame([(str(g), int(f)) for g, f in zip(table.index, place, strict=True)], "__g string, fold int")
-    return df.withColumn("__g", key).join(mapping, "__g").drop("__g")
+def stratified_group_folds(df: DataFrame, id_col: str, group_col: str, class_col: str | None = None, n_splits: int = 5, activity_col: str | None = None, n_bins: int = 5, seed: int | None = None) -> DataFrame:
+    """The rows with `fold`, groups kept together and dealt out so that folds get like shares of every stratum.
+
+    A group's stratum is its most frequent class (the first by name on a tie; a missing class is one more), or, for
+    numbers, the bin of its mean activity among `n_bins` quantiles of groups (groups without one are a stratum of their
+    own). Within a stratum groups go to the folds forth and back by falling size, then first id, or in an order
+    shuffled by `seed`. Rows without a group are groups of their own. Groups are ranked by running sums and rows meet
+    their group by `join_group`, so neither many groups nor a large one fills a task.
+    """
+    scratch = Scratch(df.sparkSession)
+    key = _group_key(id_col, group_col)
+    if (class_col is None) == (activity_col is None):
+        raise ValueError("name either class_col or activity_col")
+    base = scratch.save(df.withColumn("__g", key))
+    if class_col is not None:
+        counts = base.groupBy("__g", F.coalesce(F.col(class_col).cast("string"), F.lit("")).alias("c")).agg(F.count("*").alias("n"), F.min(id_col).alias("f"))
+        groups = counts.groupBy("__g").agg(F.sum("n").alias("n"), F.min("f").alias("f"), F.min_by("c", F.struct(-F.col("n"), F.col("c"))).alias("stratum"))
+    else:
+        means = scratch.save(base.groupBy("__g").agg(F.count("*").alias("n"), F.min(id_col).alias("f"), F.avg(F.col(activity_col).cast("double")).alias("mean")))
+        cuts = quantile_row(means, {"mean": F.col("mean")}, [b / n_bins for b in range(1, n_bins)]).get("mean", [])
+        place = sum((F.when(F.col("mean") >= F.lit(c), 1).otherwise(0) for c in cuts), F.lit(0))
+        groups = means.withColumn("stratum", F.when(F.col("mean").isNotNull(), place).otherwise(F.lit(-1)).cast("string"))
+    groups = scratch.save(groups.select("__g", "n", "f", "stratum", F.lit(1).alias("one")))
+    order = [-F.col("n"), F.col("f")] if seed is None else [digest(seed, "f")]
+    ranks = running_sums(groups, ["stratum"], order, {"rank": "one"}, scratch)
+    turn = F.pmod(F.col("rank") - 1, F.lit(2 * n_splits))
+    fold = F.when(turn < n_splits, turn).otherwise(2 * n_splits - 1 - turn).cast("int")
+    return join_group(base, scratch.save(ranks.select("__g", "n", fold.alias("fold"))), ["__g"], id_col).drop("__g")
+
+
+def group_checks(df: DataFrame, id_col: str, group_col: str, split_col: str) -> DataFrame:
+    """One row: `n_rows`, `n_groups`, `n_unplaced` (rows without a split) and `n_parted` (groups in more than one split)."""
+    rows = df.select(_group_key(id_col, group_col).alias("g"), F.col(split_col).cast("string").alias("s"))
+    groups = rows.groupBy("g").agg(F.count("*").alias("n"), F.count_if(F.col("s").isNull()).alias("gaps"), (F.min("s") != F.max("s")).alias("parted"))
+    return groups.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_rows"), F.count("*").alias("n_groups"), F.coalesce(F.sum("gaps"), F.lit(0)).alias("n_unplaced"), F.count_if(F.col("parted")).alias("n_parted"))
 
 
 def sphere_exclusion(rows: DataFrame, cutoff: float = 0.35) -> DataFrame:

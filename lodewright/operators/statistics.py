@@ -11,7 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodewright.functions.special import chi2_p, f_p, range_p, t_p
+from lodewright.functions.special import chi2_p, f_p, probit, range_p, range_quantile, t_p
+from lodewright.operators.running import exact_quantiles
 
 SUMMARY = ("mean", "std", "median")
 #: Scores where less is better: fixed values.
@@ -153,15 +154,54 @@ def mean_pct_ranks(scores: DataFrame, by: Sequence[str]) -> DataFrame:
     return ranks(scores, by).groupBy(*by, "method").agg(F.avg("pct_rank").alias("mean_pct_rank"))
 
 
-def tukey(scores: DataFrame, by: Sequence[str]) -> DataFrame:
-    """(*by, `method_1`, `method_2`, `mean_diff`, `se`, `q`, `p_value`): on the error of the repeated-measures ANOVA."""
+def tukey(scores: DataFrame, by: Sequence[str], alpha: float = 0.05) -> DataFrame:
+    """(*by, `method_1`, `method_2`, `mean_diff`, `se`, `q`, `p_value`, `lower`, `upper`): on the error of the
+    repeated-measures ANOVA, with simultaneous intervals of the differences at level 1 - alpha."""
     keys = list(by)
     means = whole_cycles(scores, by).groupBy(*by, "method").agg(F.avg("value").alias("mean"))
     df = (F.col("k") - 1) * (F.col("n") - 1)
     pairs = pairs_of(means, by).join(_anova_parts(scores, by), keys)
     se = F.sqrt(F.col("ss_error") / df / F.col("n"))
     out = pairs.withColumn("mean_diff", F.col("mean_1") - F.col("mean_2")).withColumn("se", se).withColumn("q", F.try_divide(F.abs("mean_diff"), F.col("se")))
-    return out.select(*by, "method_1", "method_2", "mean_diff", "se", "q", range_p(F.col("q"), F.col("k"), df).alias("p_value"))
+    half = range_quantile(F.lit(alpha), F.col("k"), df) * F.col("se")
+    return out.select(
+        *by, "method_1", "method_2", "mean_diff", "se", "q", range_p(F.col("q"), F.col("k"), df).alias("p_value"), (F.col("mean_diff") - half).alias("lower"), (F.col("mean_diff") + half).alias("upper"),
+    )
+
+
+def probability_plot(scores: DataFrame, by: Sequence[str]) -> DataFrame:
+    """(*by, `place`, `quantile`, `value`): centred values in order beside the normal quantiles of their expected places
+    (Filliben's medians of the order statistics)."""
+    every, order = Window.partitionBy(*by), Window.partitionBy(*by).orderBy("centred", "method", "cv_cycle")
+    ranked = centred(scores, by).withColumns({"place": F.row_number().over(order), "n": F.count("*").over(every)})
+    edge = F.pow(F.lit(0.5), 1.0 / F.col("n"))
+    p = F.when(F.col("place") == F.col("n"), edge).when(F.col("place") == 1, 1 - edge).otherwise((F.col("place") - 0.3175) / (F.col("n") + 0.365))
+    return ranked.select(*by, "place", probit(p).alias("quantile"), F.col("centred").alias("value"))
+
+
+def group_activity(df: DataFrame, group_col: str, activity_col: str, how: str = "median") -> DataFrame:
+    """(`group`, `n`, `activity`): the median or mean activity of each group; rows without a group are left out, missing
+    activities do not count."""
+    if how not in ("median", "mean"):
+        raise ValueError("how must be median or mean")
+    rows = df.where(F.col(group_col).isNotNull()).select(F.col(group_col).alias("group"), F.col(activity_col).cast("double").alias("x"))
+    sizes = rows.groupBy("group").agg(F.count("*").alias("n"), F.avg("x").alias("activity"))
+    if how == "mean":
+        return sizes
+    middle = exact_quantiles(rows, ["group"], [0.5]).select("group", F.col("q")[0].alias("activity"))
+    return sizes.drop("activity").join(middle, "group", "left").select("group", "n", "activity")
+
+
+def common_values(a: DataFrame, b: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """Distinct combinations of values that both tables hold, missing ones being equal; none where the tables are apart."""
+    return a.select(*cols).intersect(b.select(*cols))
+
+
+def plot_label(name: Column) -> Column:
+    """A score's name as an axis shows it: words apart, with a capital; well-known abbreviations in capitals."""
+    text = F.replace(F.regexp_replace(name, "^neg_", ""), F.lit("_"), F.lit(" "))
+    short = F.upper(text)
+    return F.when(short.isin("MSE", "RMSE", "MAE", "MAPE", "MCC", "F1", "R2"), short).when(short == "ROC AUC", "ROC AUC").otherwise(F.concat(F.upper(F.substring(text, 1, 1)), F.substring(text, F.lit(2), F.length(text))))
 
 
 def stars(p: Column) -> Column:

