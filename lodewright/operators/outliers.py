@@ -273,33 +273,54 @@ def _concentrate(df: DataFrame, cols: list[str], mean: np.ndarray, inverse: np.n
     for _ in range(steps):
         scored = mahalanobis_of(df, cols, mean, inverse)
         half = quantile_row(scored, {"d2": F.col("d2")}, [share]).get("d2", [0.0])[0]
-        n, mean, s = _moments(scored.where(F.col("d2") <= half), cols, F.lit(True))
+        n, new, s = _moments(scored.where(F.col("d2") <= half), cols, F.lit(True))
         s = s / max(n, 1)
-        now = float(np.linalg.slogdet(s + 1e-12 * np.eye(len(cols)))[1])
-        inverse = np.linalg.pinv(s)
-        if abs(now - log_det) < 1e-9:
+        log_det, inverse = float(np.linalg.slogdet(s + 1e-12 * np.eye(len(cols)))[1]), np.linalg.pinv(s)
+        still = np.allclose(new, mean, rtol=1e-9, atol=1e-12)
+        mean = new
+        if still:
             break
-        log_det = now
     return log_det, mean, inverse
 
 
-def robust_moments(df: DataFrame, cols: list[str], starts: int = 10, kept: int = 2, seed: int = 42) -> tuple[np.ndarray, np.ndarray]:
-    """Mean and inverse covariance of the half of the rows with the least determinant, by the fast algorithm for it:
-    `starts` random small sets of rows, two concentration steps each, and full concentration from the best `kept`."""
+#: Rows of the first stage of the covariance of least determinant, as the published algorithm has them.
+FIRST_ROWS = 1500
+
+
+def _small_steps(x: np.ndarray, mean: np.ndarray, inverse: np.ndarray, steps: int) -> tuple[float, np.ndarray, np.ndarray]:
+    """Concentration steps on rows in memory."""
+    log_det, half = np.inf, max(2, (len(x) + 1) // 2)
+    for _ in range(steps):
+        v = x - mean
+        near = x[np.argsort(np.einsum("ij,jk,ik->i", v, inverse, v), kind="stable")[:half]]
+        new, s = near.mean(0), np.atleast_2d(np.cov(near.T, bias=True))
+        log_det, inverse = float(np.linalg.slogdet(s + 1e-12 * np.eye(x.shape[1]))[1]), np.linalg.pinv(s)
+        still = np.allclose(new, mean, rtol=1e-9, atol=1e-12)
+        mean = new
+        if still:
+            break
+    return log_det, mean, inverse
+
+
+def robust_moments(df: DataFrame, cols: list[str], starts: int = 500, kept: int = 2, seed: int = 42) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and inverse covariance of the half of all rows with the least determinant (Rousseeuw and Van Driessen, 1999).
+
+    `starts` random small sets take two concentration steps on the first stage's rows (`FIRST_ROWS` by order of a hash),
+    the ten best are concentrated there, and the best `kept` of them on all rows, which alone decide.
+    """
     from lodewright.session import Scratch
 
-    rows = Scratch(df.sparkSession).save(df.select(*(F.col(c).cast("double").alias(c) for c in cols)).withColumn("__h", F.xxhash64(F.lit(seed), *cols)))
-    need = len(cols) + 1
-    first = rows.orderBy("__h", *cols).limit(10 * need * starts).drop("__h").toPandas().to_numpy(float)  # sets to start from, of fixed size
+    rows = Scratch(df.sparkSession).save(df.select(*(F.col(c).cast("double").alias(c) for c in cols)))
+    first = rows.orderBy(F.xxhash64(F.lit(seed), *cols), *cols).limit(FIRST_ROWS).toPandas().to_numpy(float)
     if len(first) < 2:
         return (first.mean(0) if len(first) else np.zeros(len(cols))), np.zeros((len(cols), len(cols)))
     rng, tried = np.random.default_rng(seed), []
     for _ in range(starts):
-        part = first[rng.choice(len(first), min(need, len(first)), replace=False)]
+        part = first[rng.choice(len(first), min(len(cols) + 1, len(first)), replace=False)]
         inverse = np.linalg.pinv(np.atleast_2d(np.cov(part.T, bias=True)) + 1e-9 * np.eye(len(cols)))
-        tried.append(_concentrate(rows, cols, part.mean(0), inverse, 2))
-    best = [_concentrate(rows, cols, m, v, 15) for _, m, v in sorted(tried, key=lambda t: t[0])[:kept]]
-    _, mean, inverse = min(best, key=lambda t: t[0])
+        tried.append(_small_steps(first, part.mean(0), inverse, 2))
+    best = sorted((_small_steps(first, m, v, 50) for _, m, v in sorted(tried, key=lambda t: t[0])[:10]), key=lambda t: t[0])
+    _, mean, inverse = min((_concentrate(rows, cols, m, v, 15) for _, m, v in best[:kept]), key=lambda t: t[0])
     return mean, inverse
 
 

@@ -46,3 +46,21 @@ def write_table(df: DataFrame, path: str, kind: str = "parquet", by: str | None
     writer = writer.partitionBy(by) if by else writer
     writer.csv(path, header=True) if kind == "csv" else writer.format(kind).save(path)
     return path
+
+
+def write_features(tables: dict[str, DataFrame], folder: str, name: str, kind: str = "parquet") -> dict[str, str]:
+    """Feature tables as `NAME_KIND` under a folder, numbered where the name is taken; gives the paths."""
+    return {k: write_table(t, f"{folder}/{name}_{k}", kind, numbered=True) for k, t in tables.items()}
+
+
+def write_split(df: DataFrame, folder: str, split_col: str = "split", name: str = "", kind: str = "parquet") -> dict[str, str]:
+    """The parts of a split table as `PARTNAME` (`train`, `test`) without the split column; gives the paths."""
+    parts = sorted(r[0] for r in df.select(split_col).distinct().where(f"`{split_col}` is not null").limit(1001).collect())
+    if len(parts) > 1000:
+        raise ValueError("more than 1000 parts")
+    return {p: write_table(df.where(df[split_col] == p).drop(split_col), f"{folder}/{p}{name}", kind, numbered=True) for p in parts}
+
+
+def write_reports(reports: dict[str, DataFrame], folder: str) -> dict[str, str]:
+    """Reports (cross-validation, external validation, shapes, comparisons of methods) as single CSV files by name."""
+    return {k: write_table(t, f"{folder}/{k}", "csv", numbered=True, single=True) for k, t in reports.items()}

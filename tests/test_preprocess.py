@@ -121,7 +121,7 @@ def test_multivariate(spark, method):
     x[:3] += 50 + 10 * rng.normal(size=(3, 3))
     df = spark.createDataFrame([(i, 0.0, *map(float, v)) for i, v in enumerate(x)], "rec_id long, activity double, p double, q double, r double")
     kept = {r["rec_id"] for r in outliers.MultivariateOutliersHandler(method).fit(df).transform(df).collect()}
-    assert 40 <= len(kept) < 60
+    assert (25 if method == "OneClassSVM" else 40) <= len(kept) < 60  # the one-class machine sets half of the rows outside
     if method != "LocalOutlierFactor":
         assert not kept & {0, 1, 2} or method == "EmpiricalCovariance"
 

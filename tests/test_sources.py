@@ -101,3 +101,21 @@ def test_command_line(spark, tmp_path):
     (tmp_path / "t.csv").write_text("rec_id,activity,x\n" + "\n".join(f"{i},{i % 2},{i * 0.5}" for i in range(20)))
     cli.main(["validate", str(tmp_path / "t.csv"), str(tmp_path / "report"), "--models", "Dummy", "--splits", "2", "--repeats", "1"])
     assert spark.read.csv(str(tmp_path / "report"), header=True).columns == ["scoring", "cv_cycle", "Dummy"]
+    rows = "\n".join(f"{i},{0.5 * i + i % 3},{i * 0.5},{i % 5}" for i in range(40))
+    (tmp_path / "fit.csv").write_text("rec_id,activity,x,z\n" + rows)
+    quick = ["--models", "Linear", "--splits", "2", "--repeats", "1", "--conformal", "n_splits=2", "--domain", '{"method": "knn"}', "--kbin", "deactivate=true"]
+    cli.main(["fit", str(tmp_path / "fit.csv"), str(tmp_path / "saved"), *quick])
+    cli.main(["predict", str(tmp_path / "fit.csv"), str(tmp_path / "predicted"), "--model-path", str(tmp_path / "saved"), "--alpha", "0.2"])
+    out = spark.read.parquet(str(tmp_path / "predicted"))
+    assert out.count() == 40 and {"Predicted value", "Applicability domain", "Prediction Interval (alpha=0.2)"} <= set(out.columns)
+    with pytest.raises(SystemExit):
+        cli.main(["predict", str(tmp_path / "fit.csv"), str(tmp_path / "p2")])
+
+
+def test_named_sinks(spark, tmp_path):
+    df = spark.createDataFrame([(1, "train"), (2, "test"), (3, None)], "a long, split string")
+    paths = files.write_split(df, str(tmp_path), name="_x")
+    assert set(paths) == {"train", "test"} and spark.read.parquet(paths["train"]).collect()[0]["a"] == 1
+    assert files.write_split(df, str(tmp_path), name="_x")["train"].endswith("train_x (1)")
+    assert files.write_features({"ECFP4": df}, str(tmp_path), "d")["ECFP4"].endswith("d_ECFP4")
+    assert spark.read.csv(files.write_reports({"cv": df}, str(tmp_path))["cv"], header=True).count() == 3
