@@ -256,6 +256,11 @@ def _grow(x: np.ndarray, seed: int):
 MULTIVARIATE = ("LocalOutlierFactor", "IsolationForest", "OneClassSVM", "RobustCovariance", "EmpiricalCovariance")
 
 
+def inverted(s: np.ndarray) -> np.ndarray:
+    """The inverse on the directions that vary; repeated columns leave some that do not."""
+    return np.linalg.pinv(s, rcond=1e-9, hermitian=True)
+
+
 def mahalanobis_of(df: DataFrame, cols: Sequence[str], mean: np.ndarray, inverse: np.ndarray) -> DataFrame:
     """The rows with `d2`, in Arrow batches: one product of matrices for each."""
 
@@ -275,8 +280,8 @@ def _concentrate(df: DataFrame, cols: list[str], mean: np.ndarray, inverse: np.n
         half = quantile_row(scored, {"d2": F.col("d2")}, [share]).get("d2", [0.0])[0]
         n, new, s = _moments(scored.where(F.col("d2") <= half), cols, F.lit(True))
         s = s / max(n, 1)
-        log_det, inverse = float(np.linalg.slogdet(s + 1e-12 * np.eye(len(cols)))[1]), np.linalg.pinv(s)
-        still = np.allclose(new, mean, rtol=1e-9, atol=1e-12)
+        before, log_det, inverse = log_det, float(np.linalg.slogdet(s + 1e-12 * np.eye(len(cols)))[1]), inverted(s)
+        still = np.allclose(new, mean, rtol=1e-9, atol=1e-12) or abs(before - log_det) <= 1e-4
         mean = new
         if still:
             break
@@ -294,7 +299,7 @@ def _small_steps(x: np.ndarray, mean: np.ndarray, inverse: np.ndarray, steps: in
         v = x - mean
         near = x[np.argsort(np.einsum("ij,jk,ik->i", v, inverse, v), kind="stable")[:half]]
         new, s = near.mean(0), np.atleast_2d(np.cov(near.T, bias=True))
-        log_det, inverse = float(np.linalg.slogdet(s + 1e-12 * np.eye(x.shape[1]))[1]), np.linalg.pinv(s)
+        log_det, inverse = float(np.linalg.slogdet(s + 1e-12 * np.eye(x.shape[1]))[1]), inverted(s)
         still = np.allclose(new, mean, rtol=1e-9, atol=1e-12)
         mean = new
         if still:
@@ -317,10 +322,10 @@ def robust_moments(df: DataFrame, cols: list[str], starts: int = 500, kept: int
     rng, tried = np.random.default_rng(seed), []
     for _ in range(starts):
         part = first[rng.choice(len(first), min(len(cols) + 1, len(first)), replace=False)]
-        inverse = np.linalg.pinv(np.atleast_2d(np.cov(part.T, bias=True)) + 1e-9 * np.eye(len(cols)))
+        inverse = inverted(np.atleast_2d(np.cov(part.T, bias=True)) + 1e-9 * np.eye(len(cols)))
         tried.append(_small_steps(first, part.mean(0), inverse, 2))
     best = sorted((_small_steps(first, m, v, 50) for _, m, v in sorted(tried, key=lambda t: t[0])[:10]), key=lambda t: t[0])
-    _, mean, inverse = min((_concentrate(rows, cols, m, v, 15) for _, m, v in best[:kept]), key=lambda t: t[0])
+    _, mean, inverse = min((_concentrate(rows, cols, m, v, 6) for _, m, v in best[:kept]), key=lambda t: t[0])
     return mean, inverse
 
 
@@ -362,7 +367,7 @@ class MultivariateOutliersHandler:
             mean, inverse = robust_moments(df, cols, seed=self.seed)
         else:
             n, mean, s = _moments(df, cols, F.lit(True))
-            inverse = np.linalg.pinv(s / max(n, 1))
+            inverse = inverted(s / max(n, 1))
         cut = quantile_row(mahalanobis_of(df, cols, mean, inverse), {"d2": F.col("d2")}, [0.9]).get("d2", [0.0])[0]
         return replace(self, state={"cols": cols, "mean": mean.tolist(), "inverse": inverse.tolist(), "cut": cut})
 
