@@ -95,6 +95,8 @@ class ComponentTable:
 
     def roots(self, scratch: Scratch) -> DataFrame:
         """(`node`, `root`) of every component that has merged into another, by jumping along the pointers of all batches."""
+        if self.n_batches() < 2:  # a first batch merges nothing
+            return self.spark.createDataFrame([], "node long, root long")
         pointers = self._read("pointers", "component long, to long").select(F.col("component").alias("node"), "to")
         return jump_to_roots(scratch.save(pointers), scratch).where("node <> root")
 
@@ -130,25 +132,29 @@ class ComponentTable:
         here = f"{self.root}/{self.n_batches():05d}"
         value = F.col(value_col).cast("double") if value_col else F.lit(None).cast("double")
         marked, heads = _marked(df.withColumn("__value", value), id_col, keys, scratch, ["__value"])
-        before = self._read("keys", "kind int, k string, component long")
-        merged = self.roots(scratch)
-        known = []
+        first = not self.n_batches()
+        before, merged, known = self._read("keys", "kind int, k string, component long"), self.roots(scratch), []
         for kind, head in enumerate(heads):
+            if first:
+                known.append(head.select(F.lit(kind).alias("kind"), "k", "m", F.lit(None).cast("long").alias("component")))
+                continue
             old = before.where(F.col("kind") == kind).select("k", "component")
             seen = head.select("k", "m").join(old, "k", "left").join(merged, F.col("component") == F.col("node"), "left")
             known.append(scratch.save(seen.select(F.lit(kind).alias("kind"), "k", "m", F.coalesce("root", "component").alias("component"))))
         every = reduce(DataFrame.unionByName, known)
         links = every.where("component is not null").select(F.col("m").alias("a"), F.col("component").alias("b"))
         # Components keep a node of their own even where nothing else links them.
-        roots = scratch.save(connected_components(_row_edges(marked, len(keys)).union(links), scratch))
+        edges = _row_edges(marked, len(keys))
+        roots = connected_components(edges if first else edges.union(links), scratch)
         grouped = scratch.save(_anchored(marked, roots, len(keys), scratch))
         new_keys = every.where("component is null").join(roots, F.col("m") == F.col("node"), "left").select("kind", "k", F.coalesce("root", "m").alias("component"))
         new_keys.write.mode("overwrite").parquet(f"{here}/keys")
-        touched = scratch.save(links.select(F.col("b").alias("component")).distinct())
+        touched = links.select(F.col("b").alias("component")).distinct()
+        touched = touched.limit(0) if first else scratch.save(touched)
         moved = touched.join(roots, F.col("component") == F.col("node")).select("component", F.col("root").alias("to"))
         moved.where("component <> to").write.mode("overwrite").parquet(f"{here}/pointers")
         grouped.select("id", F.col("group_id").alias("component")).write.mode("overwrite").parquet(f"{here}/members")
-        state = scratch.save(self.components())
+        state = self.components() if first else scratch.save(self.components())
         old = state.join(moved, "component").select(F.col("to").alias("component"), "n_rows", "total", "n_valued", F.col("split_name").alias("low"), F.col("split_name").alias("high"))
         own = grouped.groupBy(F.col("group_id").alias("component")).agg(
             F.count("*").alias("n_rows"), F.coalesce(F.sum("__value"), F.lit(0.0)).alias("total"), F.count("__value").alias("n_valued")
