@@ -74,7 +74,7 @@ def within(a: Column, b: Column, k: int) -> Column:
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 #: Characters of a batch that are hashed at once.
-_CELLS = 1 << 22
+_CELLS = 1 << 18
 
 
 def _mixed(h: np.ndarray, *numbers: int) -> np.ndarray:
