@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gzip
 import json
+import uuid
 
 import pytest
 from pyspark.sql import functions as F
@@ -93,7 +94,7 @@ def test_stream(spark, tmp_path):
     missing = MissingHandler().fit(df)
     steps = [missing, Rescaler().fit(missing.transform(df))]
     stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
-    score.write_stream(score.transform_stream(stream, steps), str(tmp_path / "out"), tmp_path.name).awaitTermination()
+    score.write_stream(score.transform_stream(stream, steps), str(tmp_path / "out"), f"test-{uuid.uuid4().hex}").awaitTermination()
     assert {(r["rec_id"], r["x"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {(1, 0.0), (2, 0.5), (3, 1.0)}
 
 
