@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodewright.functions import kernels
-from lodewright.operators import boosting
+from lodewright.operators import boosting, forest
 from lodewright.operators.neighbours import vote
 
 
@@ -245,9 +245,24 @@ def _of_extra_trees(name: str, cols: list[str], classification: bool, state: dic
     return Fitted(name, cols, classification, score, "extra_trees", state, state["weights"])
 
 
+def _forest(df: DataFrame, cols: list[str], y: str, classification: bool, **params) -> Fitted:
+    """A forest of 100 trees of at most 30 levels; its trees are a table (`forest`)."""
+    settings = {"numTrees": 100, "maxDepth": 30, "featureSubsetStrategy": "sqrt" if classification else "all", "seed": 42} | params
+    return _of_forest("RandomForest", cols, classification, forest.fit(df, cols, y, **settings))
+
+
+def _of_forest(name: str, cols: list[str], classification: bool, state: dict) -> Fitted:
+    def score(rows: DataFrame) -> DataFrame:
+        if not classification:
+            return forest.means(rows, cols, state, "predicted")
+        return forest.means(rows, cols, state, "probability").withColumn("predicted", F.when(F.col("probability") > 0.5, 1.0).otherwise(0.0))
+
+    return Fitted(name, cols, classification, score, "forest", state, state["weights"])
+
+
 #: How a model is made again from what was saved of it.
 REBUILD: dict[str, Callable[[str, list[str], bool, dict], Fitted]] = {
-    "spark": _of_spark, "dummy": _of_dummy, "neighbours": _of_neighbours, "boosted": _of_boosted, "extra_trees": _of_extra_trees,
+    "spark": _of_spark, "dummy": _of_dummy, "neighbours": _of_neighbours, "boosted": _of_boosted, "extra_trees": _of_extra_trees, "forest": _of_forest,
     "arrays": lambda name, cols, classification, state: _numpy(name, cols, classification, state["function"], state["weights"]),
 }
 
@@ -303,6 +318,8 @@ def fit_model(name: str, df: DataFrame, cols: Sequence[str], y: str, classificat
         return _boosted(df, cols, y, classification, **params)
     if name == "SVM" and params.get("kernel") != "linear":
         return _kernel_machine(df, cols, y, classification, **params)
+    if name == "RandomForest":
+        return _forest(df, cols, y, classification, **params)
     if name == "ExtraTrees":
         return _extra_trees(df, cols, y, classification, **params)
     if name == "MLP" and not classification:
@@ -321,7 +338,6 @@ def fit_model(name: str, df: DataFrame, cols: Sequence[str], y: str, classificat
         makers = {
             "Logistic": lambda C=1.0, **k: LogisticRegression(regParam=1 / (C * max(n, 1)), standardization=False, **k),
             "SVM": lambda kernel="linear", C=1.0, **k: LinearSVC(regParam=1 / C / 100, **k),
-            "RandomForest": lambda **k: RandomForestClassifier(**({"numTrees": 100, "maxDepth": 30, "featureSubsetStrategy": "sqrt", "seed": 42} | k)),
             "MLP": lambda hidden=150, **k: MultilayerPerceptronClassifier(layers=[len(cols), hidden, 2], seed=42, **k),
         }
     else:
@@ -330,7 +346,6 @@ def fit_model(name: str, df: DataFrame, cols: Sequence[str], y: str, classificat
             "Ridge": lambda alpha=1.0, **k: LinearRegression(regParam=alpha * sigma / max(n, 1), elasticNetParam=0.0, standardization=False, solver="normal", **k),
             "ElasticNet": lambda **k: LinearRegression(**({"regParam": 0.1, "elasticNetParam": 0.5, "standardization": False} | k)),
             "Lasso": lambda **k: LinearRegression(**({"regParam": 0.01, "elasticNetParam": 1.0, "standardization": False} | k)),
-            "RandomForest": lambda **k: RandomForestRegressor(**({"numTrees": 100, "maxDepth": 30, "featureSubsetStrategy": "all", "seed": 42} | k)),
         }
     if name not in makers:
         raise ValueError(f"unknown model {name}")
