@@ -267,29 +267,70 @@ REBUILD: dict[str, Callable[[str, list[str], bool, dict], Fitted]] = {
 }
 
 
+def _covariances(sums: np.ndarray) -> np.ndarray:
+    """Covariances of the columns after the first, from sums of products of which the first column is 1."""
+    n = max(sums[0, 0], 1.0)
+    return sums[1:, 1:] / n - np.outer(sums[0, 1:], sums[0, 1:]) / (n * n)
+
+
+def _elastic(cov: np.ndarray, alpha: float, elastic: float, start: np.ndarray, rounds: int = 2000) -> np.ndarray:
+    """Coefficients of the linear model that Spark's `LinearRegression` fits without standardisation, by coordinate descent
+    on covariances (the target's last). Spark scales the target first, so its squared penalty is over the target's deviation."""
+    d = len(start)
+    g, c, sigma = cov[:d, :d], cov[:d, d], max(cov[d, d], 0.0) ** 0.5 or 1.0
+    lasso, ridge, coef = alpha * elastic, alpha * (1 - elastic) / sigma, start.copy()
+    width = np.sqrt(np.maximum(np.diag(g), 0.0))
+    open_ = np.flatnonzero(width > 1e-12)
+    coef[width <= 1e-12] = 0.0
+    gradient = c - g @ coef
+    for _ in range(rounds):
+        most = 0.0
+        for j in open_:
+            z = gradient[j] + g[j, j] * coef[j]
+            new = np.sign(z) * max(abs(z) - lasso, 0.0) / (g[j, j] + ridge)
+            if new != coef[j]:
+                gradient -= g[:, j] * (new - coef[j])
+                most = max(most, abs(new - coef[j]) * width[j])
+                coef[j] = new
+        if most <= 1e-9 * sigma:
+            break
+    return coef
+
+
 def path_cv(name: str, df: DataFrame, cols: list[str], y: str, elastic: float, n_alphas: int = 20, folds: int = 5, eps: float = 1e-3, id_cols: Sequence[str] | None = None) -> Fitted:
     """Linear model with the penalty of least mean squared error over `folds` folds, from a path of penalties that falls
-    from the least one that empties the model to `eps` times it."""
+    from the least one that empties the model to `eps` times it.
+
+    Fits and errors need sums of products by fold only: one pass over the rows serves all folds and penalties.
+    """
     from lodewright.session import Scratch
 
     scratch = Scratch(df.sparkSession)
     fold = F.pmod(F.xxhash64(F.lit(42), *(id_cols or [*cols, y])), F.lit(folds))
     rows = scratch.save(df.select(*cols, F.col(y).cast("double").alias(y), fold.alias("__fold")))
-    center = rows.agg(*(F.covar_pop(F.col(c).cast("double"), y) for c in cols)).first()
-    top = max((abs(v or 0.0) for v in center), default=0.0) / max(elastic, 1e-3) or 1.0
+    d, means = len(cols), rows.agg(*(F.avg(F.col(c).cast("double")) for c in cols), F.avg(y)).first()
+    shift = np.array([v or 0.0 for v in means])
+
+    def moments(x: np.ndarray) -> np.ndarray:
+        v = np.column_stack([np.ones(len(x)), x[:, :-1] - shift])
+        return np.concatenate([(v[at].T @ v[at]).ravel() for at in (x[:, -1] == k for k in range(folds))])
+
+    numbers = rows.select(*(F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(cols)), F.col(y).alias("y"), F.col("__fold").cast("double").alias("f"))
+    by_fold = kernels.summed(numbers, moments).reshape(-1, d + 2, d + 2)
+    center = _covariances(by_fold.sum(0))[:d, d] if len(by_fold) else []
+    top = max((abs(v) for v in center), default=0.0) / max(elastic, 1e-3) or 1.0
     path = top * np.logspace(0, np.log10(eps), n_alphas)
     errors = np.zeros(n_alphas)
-    for k in range(folds):
-        train, test = _assembled(rows.where(F.col("__fold") != k), cols), _assembled(rows.where(F.col("__fold") == k), cols)
-        if train.isEmpty() or test.isEmpty():
+    for test in by_fold:
+        train = by_fold.sum(0) - test
+        if train[0, 0] < 0.5 or test[0, 0] < 0.5:
             continue
-        names = []
+        cov, coef = _covariances(train), np.zeros(d)
         for i, alpha in enumerate(path):
-            model = LinearRegression(featuresCol="__x", labelCol=y, regParam=float(alpha), elasticNetParam=elastic, standardization=False, maxIter=200, tol=1e-7).fit(train)
-            coef, offset = model.coefficients.toArray(), float(model.intercept)
-            names.append((sum((F.lit(float(w)) * F.col(c) for w, c in zip(coef, cols, strict=True)), F.lit(offset)) - F.col(y)).alias(f"e{i}"))
-        row = test.select(*names).agg(*(F.sum(F.col(f"e{i}") * F.col(f"e{i}")) for i in range(n_alphas))).first()
-        errors += np.array([v or 0.0 for v in row])
+            coef = _elastic(cov, float(alpha), elastic, coef)
+            offset = (train[0, d + 1] - train[0, 1 : d + 1] @ coef) / train[0, 0]
+            u = np.concatenate([[offset], coef, [-1.0]])
+            errors[i] += float(u @ test @ u)
     best = float(path[int(np.argmin(errors))])
     return _spark(name, LinearRegression(regParam=best, elasticNetParam=elastic, standardization=False), df, cols, y, False)
 

@@ -1,9 +1,11 @@
-"""Forests whose trees are a table."""
+"""Forests whose trees are a table, and penalties chosen from sums."""
 
 from __future__ import annotations
 
 import numpy as np
 import pytest
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -74,3 +76,17 @@ def test_places():
     assert forest.places([0.0] * 999 + [1.0], 32).tolist() == [0.5]
     many = forest.places(np.concatenate([np.zeros(900), np.arange(1, 200)]), 32)
     assert len(many) == 31 and (np.diff(many) > 0).all()
+
+
+@pytest.mark.parametrize("elastic", [1.0, 0.5])
+def test_penalty_from_sums(spark, table, elastic):
+    spark.sparkContext.setJobGroup("path", "path")
+    models.path_cv("LassoCV", table, COLS, "activity", elastic)
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("path"))
+    spark.sparkContext.setJobGroup("none", "none")
+    assert 0 < jobs < 20  # a fit for each fold and penalty before: hundreds
+    x = VectorAssembler(inputCols=COLS, outputCol="x").transform(table)
+    data = np.array(table.select(*COLS, "activity").collect())
+    for alpha in (0.01, 0.3):
+        theirs = LinearRegression(featuresCol="x", labelCol="activity", regParam=alpha, elasticNetParam=elastic, standardization=False, maxIter=500, tol=1e-10).fit(x).coefficients.toArray()
+        assert models._elastic(np.cov(data.T, bias=True), alpha, elastic, np.zeros(4)) == pytest.approx(theirs, abs=2e-4)
