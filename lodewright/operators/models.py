@@ -95,9 +95,7 @@ def _of_neighbours(name: str, cols: list[str], classification: bool, state: dict
 
     def score(t: DataFrame) -> DataFrame:
         rows = t.select(F.col(id_col).alias("id"), F.array(*(F.col(c).cast("double") for c in cols)).alias("x"))
-        found = vote(rows, fitted, "y", k, classification)
-        if classification:
-            found = found.join(vote(rows, fitted, "y", k, False).withColumnRenamed("predicted", "probability"), "id")
+        found = vote(rows, fitted, "y", k, classification, "probability" if classification else None)
         return t.join(found.withColumnRenamed("id", id_col), id_col)
 
     return Fitted(name, cols, classification, score, "neighbours", state)

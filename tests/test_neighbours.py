@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pytest
 
-from lodewright.operators import neighbours
+from lodewright.operators import models, neighbours
 
 
 @pytest.fixture
@@ -52,3 +52,12 @@ def test_few_rows_meet(spark, small_blocks, monkeypatch):
     fitted = frame(spark, range(2000), np.random.default_rng(3).uniform(size=(2000, 2)))
     neighbours.knn(fitted, fitted, 3, exclude_self=True).collect()
     assert 0 < met.value < 2000 * 2000 / 4  # all pairs before
+
+
+def test_classes_are_looked_up_once(spark, monkeypatch):
+    calls = []
+    inner = neighbours.knn
+    monkeypatch.setattr(neighbours, "knn", lambda *a, **k: calls.append(1) or inner(*a, **k))
+    rows = spark.createDataFrame([(i, float(i % 4 == 0), float(i % 4), 0.0) for i in range(40)], "rec_id long, activity double, p double, q double")
+    out = models.fit_model("KNeighbors", rows, ["p", "q"], "activity", True).score(rows)
+    assert out.where("predicted = activity and probability = activity").count() == 40 and len(calls) == 1
