@@ -324,6 +324,39 @@ def test_neighbours_without_a_common_run(spark):
     assert sorted(tuple(r) for r in found) == sorted(want) and len(want) > 40
 
 
+def test_neighbours_move_no_keys(spark):
+    """Texts are looked up where they are read: what is shuffled is a few hundred bytes a text, however many keys it has."""
+    rng = np.random.default_rng(9)
+    pieces = ["".join(rng.choice(list("cno(=)1sf"), rng.integers(3, 8))) for _ in range(60)]
+    texts = ["".join(rng.choice(pieces, 18)) for _ in range(1500)]
+    texts = sorted({*texts, *(_mutated(rng, t, 6) for t in texts[:300])})
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    scratch = Scratch(spark)
+    distinct = scratch.save(density_clusters.distinct_texts(df))
+
+    def written() -> int:
+        context = spark.sparkContext._jsc.sc()
+        context.listenerBus().waitUntilEmpty()
+        return context.statusStore().executorList(True).head().totalShuffleWrite()
+
+    before = written()
+    found = {(r["a"], r["b"]) for r in density_clusters.neighbours(distinct, density_clusters.Settings(), scratch).collect()}
+    assert len(found) >= 250 and all(edit_distance(texts[a], texts[b]) <= 8 for a, b in found)
+    assert written() - before < 500 * len(texts)
+
+
+def test_neighbours_by_blocks(spark, monkeypatch):
+    """Blocks of a few texts, several of them of one length, find what one block finds."""
+    monkeypatch.setattr(density_clusters, "BLOCK_TEXTS", 40)
+    rng = np.random.default_rng(10)
+    bases = ["".join(rng.choice(list("cno(=)1é𝔸"), n)) for n in (40, 47, 60, 60, 90, 150, 200)]
+    texts = sorted({*bases, *(_mutated(rng, b, 8) for b in bases for _ in range(20)), *("ab" * n for n in range(12, 24))})
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    found = density_clusters.neighbours(density_clusters.distinct_texts(df), density_clusters.Settings(), Scratch(spark)).collect()
+    want = {(i, j, d) for (i, s), (j, t) in itertools.combinations(enumerate(texts), 2) if abs(len(s) - len(t)) <= 8 and (d := edit_distance(s, t)) <= 8}
+    assert sorted(tuple(r) for r in found) == sorted(want) and len(want) > 100
+
+
 def test_spanning_forest_weight(spark):
     rng = np.random.default_rng(6)
     edges = {(min(a, b), max(a, b)): int(w) for a, b, w in rng.integers(0, 60, (150, 3)) if a != b}
